@@ -55,8 +55,8 @@ def batch(schema: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key (long, unique), doc_id, text, copies: rows in the order of doc_id have ascending keys.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """key (long, unique), doc_id, text, copies, and whether keys are the doc_ids themselves. Rows in the order of doc_id have ascending keys.
 
     Where doc_ids are unique and not null, they are the keys and copies is 1. Otherwise rows that
     agree in doc_id and text are one row with their count in copies, and keys number the rows by
@@ -65,10 +65,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     odd = rows.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 OR doc_id IS NULL")
     if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text", F.lit(1).alias("copies"))
+        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text", F.lit(1).alias("copies")), True
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return stored(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "copies"), "keyed")
+    return stored(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "copies"), "keyed"), False
 
 
 def repeated(rows: DataFrame) -> DataFrame:

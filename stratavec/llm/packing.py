@@ -236,7 +236,7 @@ def best_fit_pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     gaps. An empty table gives an empty result. Other columns are ignored.
     """
     ready(docs.sparkSession)
-    texts = keyed(docs, id_col, text_col)
+    texts, _ = keyed(docs, id_col, text_col)
     buckets = partitions(texts)
     pieces = texts.select("key", "doc_id", "copies", "text").mapInArrow(cut_task(path, capacity, end, with_ids), "key long, doc_id long, copies int, piece int, start long, length long, ids_crc32 long, ids binary")
     pieces = stored(pieces.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), "pieces").withColumn("bucket", F.pmod(F.xxhash64("key", "piece"), F.lit(buckets)))

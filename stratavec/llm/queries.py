@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratavec.llm.bpe import bpe_round
 from stratavec.llm.exact_dedup import exact_dedup
 from stratavec.llm.license_scan import license_scan
+from stratavec.llm.ngram_join import ngram_join
 from stratavec.llm.packing import best_fit_pack
 from stratavec.llm.quality_rules import quality_rules
 from stratavec.llm.suffix_dedup import suffix_dedup
@@ -35,6 +36,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_license_scan": op7_license_scan,
+    "op8_ngram_join": op8_ngram_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }

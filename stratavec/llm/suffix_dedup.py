@@ -346,7 +346,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gram + 1 to gram + 255.
     """
     ready(docs.sparkSession)
-    texts = keyed(docs, id_col, text_col)
+    texts, _ = keyed(docs, id_col, text_col)
     buckets = partitions(texts)
     runs = texts.select("key", "text").mapInArrow(send_runs(buckets, window, gram), BLOBS_DDL)
     runs = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_runs(buckets, window), BLOBS_DDL)
