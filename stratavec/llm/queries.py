@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratavec.llm.bpe import bpe_round
 from stratavec.llm.exact_dedup import exact_dedup
+from stratavec.llm.html_extract import html_extract
+from stratavec.llm.language_id import language_id
 from stratavec.llm.license_scan import license_scan
 from stratavec.llm.ngram_join import ngram_join
 from stratavec.llm.packing import best_fit_pack
 from stratavec.llm.quality_rules import quality_rules
 from stratavec.llm.suffix_dedup import suffix_dedup
+from stratavec.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,22 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +65,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_bpe": op3_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_ngram_join": op8_ngram_join,
