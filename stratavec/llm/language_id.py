@@ -129,6 +129,16 @@ def predict_task(model):
     return task
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+
+
+def _fitted(rows: DataFrame):
+    known = rows.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    return rows.sparkSession.sparkContext.broadcast(fit(known.select("doc_id", "text", "lang")))
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
@@ -137,8 +147,22 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing can be learned. A null doc_id is not held out and not learned from. Repeated rows each
     give their row; an empty table gives an empty result. Other columns are ignored.
     """
-    spark = ready(docs.sparkSession)
-    rows = pick(docs, id_col, text_col, lang_col).toDF("doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
-    model = spark.sparkContext.broadcast(fit(rows.filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(predict_task(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    ready(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col, lang_col)
+    return rows.select("doc_id", "held_out", "text").mapInArrow(predict_task(_fitted(rows)), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns as they are, that language_id() gives a language with at least min_score."""
+    ready(docs.sparkSession)
+    model, at, names = _fitted(_rows(docs, id_col, text_col, lang_col)), docs.columns.index(text_col), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
+                found = model.value.predict(part.column(at).to_pylist())
+                yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+
+    return plain.mapInArrow(task, plain.schema).toDF(*names)

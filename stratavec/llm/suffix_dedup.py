@@ -301,6 +301,16 @@ def sort_windows(buckets: int, window: int):
 RESULT = {"key": pa.int64(), "doc_id": pa.int64(), "copies": pa.int32(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
 
+def _rest(text: np.ndarray, blobs: tuple[bytes | None, ...]) -> tuple[bytes, int]:
+    """The bytes outside packed intervals, and how many separate stretches are gone."""
+    found = [unpack(x, np.int64, np.int64) for x in blobs if x]
+    if not found:
+        return text.tobytes(), 0
+    start, end = _merged(*map(np.concatenate, zip(*found, strict=True)), True)
+    cuts = zip([0, *end], [*start, len(text)], strict=True)
+    return b"".join(text[a:b].tobytes() for a, b in cuts), len(start)
+
+
 def cut(with_text: bool):
     """Task over key, doc_id, copies, text, repeats, more: what is left of each text."""
 
@@ -309,16 +319,9 @@ def cut(with_text: bool):
             data, offsets = utf8(b.column(3))
             sizes, removed, spans, shas, kept = np.diff(offsets), [], [], [], []
             for row, blobs in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                text = data[offsets[row] : offsets[row + 1]]
-                found = [unpack(x, np.int64, np.int64) for x in blobs if x]
-                start, end = _merged(*map(np.concatenate, zip(*found, strict=True)), True) if found else ((), ())
-                at, rest = 0, []
-                for s, e in zip(start, end, strict=True):
-                    rest.append(text[at:s])
-                    at = e
-                left = b"".join(x.tobytes() for x in [*rest, text[at:]])
-                removed.append(len(text) - len(left))
-                spans.append(len(start))
+                left, n = _rest(data[offsets[row] : offsets[row + 1]], blobs)
+                removed.append(int(sizes[row]) - len(left))
+                spans.append(n)
                 shas.append(hashlib.sha256(left).hexdigest())
                 kept.append(left if with_text else None)
             yield batch(RESULT, b.column(0), b.column(1), b.column(2), sizes, removed, spans, shas, kept)
@@ -335,6 +338,25 @@ def _near(rows: DataFrame, size) -> DataFrame:
     return F.broadcast(rows) if small(rows, size + 16, BROADCAST_BYTES) else rows
 
 
+def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """texts: key (long, unique), text. A row per text with repeated bytes, stored: key, and two packed lists of their intervals."""
+    texts = texts.select("key", "text")
+    buckets = partitions(texts)
+    runs = texts.mapInArrow(send_runs(buckets, window, gram), BLOBS_DDL)
+    runs = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_runs(buckets, window), BLOBS_DDL)
+    marks = _gathered(runs, buckets, "run-repeats")
+    wanted = stored(marks.filter("runs IS NOT NULL").select("key", "runs"), "partial-runs")
+    windows = texts.join(_near(wanted, F.length("runs")), "key").mapInArrow(send_windows(buckets, window), BLOBS_DDL)
+    windows = windows.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_windows(buckets, window), BLOBS_DDL)
+    more = _gathered(windows, buckets, "window-repeats").select("key", F.col("repeats").alias("more"))
+    return stored(marks.select("key", "repeats").join(more, "key", "full").filter("repeats IS NOT NULL OR more IS NOT NULL"), "repeats")
+
+
+def _beside(texts: DataFrame, found: DataFrame) -> DataFrame:
+    size = F.coalesce(F.length("repeats"), F.lit(0)) + F.coalesce(F.length("more"), F.lit(0))
+    return texts.join(_near(found, size), "key", "left")
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept if with_text.
 
@@ -347,16 +369,33 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ready(docs.sparkSession)
     texts, _ = keyed(docs, id_col, text_col)
-    buckets = partitions(texts)
-    runs = texts.select("key", "text").mapInArrow(send_runs(buckets, window, gram), BLOBS_DDL)
-    runs = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_runs(buckets, window), BLOBS_DDL)
-    marks = _gathered(runs, buckets, "run-repeats")
-    wanted = stored(marks.filter("runs IS NOT NULL").select("key", "runs"), "partial-runs")
-    windows = texts.select("key", "text").join(_near(wanted, F.length("runs")), "key").mapInArrow(send_windows(buckets, window), BLOBS_DDL)
-    windows = windows.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_windows(buckets, window), BLOBS_DDL)
-    more = _gathered(windows, buckets, "window-repeats").select("key", F.col("repeats").alias("more"))
-    found = stored(marks.select("key", "repeats").join(more, "key", "full").filter("repeats IS NOT NULL OR more IS NOT NULL"), "repeats")
-    size = F.coalesce(F.length("repeats"), F.lit(0)) + F.coalesce(F.length("more"), F.lit(0))
-    rows = texts.join(_near(found, size), "key", "left").select("key", "doc_id", "copies", "text", "repeats", "more")
+    rows = _beside(texts, repeats(texts, window, gram)).select("key", "doc_id", "copies", "text", "repeats", "more")
     out = rows.mapInArrow(cut(with_text), "key long, doc_id long, copies int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return repeated(out).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text)
+
+
+def shortened(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """docs, whose id_col is unique and not null, with text_col reduced to what suffix_dedup() keeps of it.
+
+    A character of which only some bytes are left is dropped whole. Null texts stay null. All other
+    columns stay as they are.
+    """
+    ready(docs.sparkSession)
+    names = docs.columns
+    at = names.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("key", F.col(f"c{names.index(id_col)}").cast("long"))
+    rows = _beside(plain, repeats(plain.select("key", F.col(f"c{at}").alias("text")), window, gram)).drop("key")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at)
+            data, offsets = utf8(texts)
+            kept = []
+            for row, (ok, *blobs) in enumerate(zip(texts.is_valid().to_pylist(), *(c.to_pylist() for c in b.columns[-2:]), strict=True)):
+                left, _ = _rest(data[offsets[row] : offsets[row + 1]], blobs)
+                kept.append(left.decode("utf-8", "ignore") if ok else None)
+            columns = [*b.columns[:-2]]
+            columns[at] = pa.array(kept, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-2])
+
+    return rows.mapInArrow(task, plain.drop("key").schema).toDF(*names)
