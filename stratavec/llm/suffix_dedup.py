@@ -10,11 +10,12 @@ of one leaves as soon as it is alone:
    one. The first digit of all windows of a run is the hash of the anchor string.
 2. Runs with one anchor string are ordered by the hash of all bytes that their windows cover. Of
    equal runs all but the first are repeats from end to end, and leave.
-3. A run whose anchor string stands in another, different run is ordered window by window: equal
-   windows are repeats but for the first.
+3. A run whose anchor string stands in another, different run is ordered window by window. Eight
+   neighbouring windows share a core; where no other group has it, all eight leave. The few bytes
+   beside the core are the last digits. Equal windows are repeats but for the first.
 
 Hashes are 64-bit digits with 16 more bits of a second hash beside (and the anchor's digits in
-step 2). Each task first sorts its own runs and sends on one of each group of equals, so a passage
+step 2). Texts meet their runs and repeats by a shuffle join at every size. Each task first sorts its own runs and sends on one of each group of equals, so a passage
 that a third of all documents share arrives once from each task. Digits travel as packed columns, a
 bucket of hash values each.
 """
@@ -30,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratavec.llm.arrays import U64, batch, keyed, mix64, pack, repeated, split_by, unpack, utf8
-from stratavec.session import partitions, ready, small, stored
+from stratavec.session import partitions, ready, stored
 
 WINDOW = 100
 GRAM = 40
+GROUP = 8
 CHUNK = 1 << 19
 FLUSH_RUNS = 1 << 21
-BROADCAST_BYTES = 16 << 20
 PLACE_BITS = 24
 BLOBS = {"bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
 BLOBS_DDL = "bucket int, kind int, blob binary"
@@ -200,23 +201,23 @@ def sort_runs(buckets: int, window: int):
             g = gram[order]
             same = g[1:] == g[:-1]
             order = order[np.r_[same, False] | np.r_[False, same]]
-            yield _out(buckets, RUN, key[order], at[order], at[order] + more[order])
+            yield _out(buckets, RUN, key[order], at[order], at[order] + more[order], at[order] + to_anchor[order])
 
     return task
 
 
 def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task over whole buckets of keys: for each key its repeats (start, end) and its runs (first and last window start), packed."""
+    """Task over whole buckets of keys: for each key its repeats (start, end) and its runs (first and last window start, anchor), packed."""
     held: dict[int, list] = {REPEAT: [], RUN: []}
     for b in batches:
         for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            held[kind].append(unpack(blob, np.int64, np.int64, np.int64))
+            held[kind].append(unpack(blob, *[np.int64] * (4 if kind == RUN else 3)))
     packed: list[dict[int, bytes]] = []
     for kind in (REPEAT, RUN):
         if held[kind]:
-            key, start, end = map(np.concatenate, zip(*held[kind], strict=True))
+            key, *columns = map(np.concatenate, zip(*held[kind], strict=True))
             _, number = np.unique(key, return_inverse=True)
-            packed.append({int(c[0][0]): pack(*_merged(c[1], c[2], kind == REPEAT)) for _, c in split_by(number, key, start, end)})
+            packed.append({int(c[0][0]): pack(*(_merged(c[1], c[2]) if kind == REPEAT else c[1:])) for _, c in split_by(number, key, *columns)})
         else:
             packed.append({})
     keys = sorted({*packed[0], *packed[1]})
@@ -225,49 +226,72 @@ def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch({"key": pa.int64(), "repeats": pa.binary(), "runs": pa.binary()}, some, [packed[0].get(k) for k in some], [packed[1].get(k) for k in some])
 
 
-def _merged(start: np.ndarray, end: np.ndarray, join: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Intervals in order; those that touch or overlap as one, if join."""
+def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals in order, those that touch or overlap as one."""
     order = np.lexsort((end, start))
     start, end = start[order], end[order]
-    if join and len(start):
+    if len(start):
         far = np.maximum.accumulate(end)
-        new = np.r_[True, start[1:] > far[:-1]]
-        cuts = np.flatnonzero(new)
+        cuts = np.flatnonzero(np.r_[True, start[1:] > far[:-1]])
         start, end = start[cuts], far[np.r_[cuts[1:] - 1, len(far) - 1]]
     return start, end
 
 
-def _send_windows(buckets: int, wide: int, key, at, whole, check) -> Iterator[pa.RecordBatch]:
-    order, new = _firsts(whole, check, key, at)
+def _edge(text: np.ndarray, first: np.ndarray, step: int) -> np.ndarray:
+    """Seven bytes from first on, in steps of 1 or -1, the first lowest; what is outside the text is 0."""
+    out = np.zeros(len(first), U64)
+    for i in range(GROUP - 1):
+        at = first + step * i
+        inside = (at >= 0) & (at < len(text))
+        out |= np.where(inside, text[np.clip(at, 0, len(text) - 1)], 0).astype(U64) << U64(8 * i)
+    return out
+
+
+def window_groups(text: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs in groups of eight windows, aligned to the anchor: base, first and last window in it, core hashes, bytes left and right of the core.
+
+    Window i of a group covers the core, that all eight share, with 7 - i bytes before and i bytes
+    behind it.
+    """
+    low, high = (anchor - last) // GROUP, (anchor - first) // GROUP
+    n = high - low + 1
+    which = np.repeat(np.arange(len(n)), n)
+    group = low[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    base = anchor[which] - GROUP * group - (GROUP - 1)
+    i0, i1 = np.maximum(first[which] - base, 0), np.minimum(last[which] - base, GROUP - 1)
+    roll, core = roller(), base + GROUP - 1
+    size = window - GROUP + 1
+    whole, check = roll.slices(roll.prefix(text, 0), core, core + size, 0), roll.slices(roll.prefix(text, 1), core, core + size, 1)
+    return base, i0 * GROUP + i1, mix64(whole), mix64(check).astype(np.uint16), _edge(text, core - 1, -1), _edge(text, core + size, 1)
+
+
+def _send_windows(buckets: int, window: int, key, base, span, core, check, left, right) -> Iterator[pa.RecordBatch]:
+    order, new = _firsts(core, check, left, right, span, key, base)
     again = order[~new]
-    yield _out(buckets, REPEAT, key[again], at[again], at[again] + wide)
-    order = np.sort(order[new])
-    order = order[np.lexsort((at[order], key[order]))]
-    found = split_by((whole[order] % U64(buckets)).astype(np.int32), whole[order], check[order], key[order], at[order])
-    yield batch(BLOBS, [b for b, _ in found], [PARTIAL] * len(found), [pack(c[0], c[1], _closer(c[2]), c[3]) for _, c in found])
+    yield _out(buckets, REPEAT, key[again], base[again] + span[again] // GROUP, base[again] + span[again] % GROUP + window)
+    order = order[new]
+    order = order[np.lexsort((base[order], key[order]))]
+    found = split_by((core[order] % U64(buckets)).astype(np.int32), *(c[order] for c in (core, check, left, right, key, base, span.astype(np.uint8))))
+    yield batch(BLOBS, [b for b, _ in found], [PARTIAL] * len(found), [pack(*c[:4], _closer(c[4]), *c[5:]) for _, c in found])
 
 
 def send_windows(buckets: int, window: int):
-    """Task over key, text, runs: every window of the runs by the bucket of its hash, and the repeats that the task itself found."""
+    """Task over key, text, runs: every window of the runs, in groups, by the bucket of the core's hash; and the repeats that the task itself found."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, held, n = roller(), [], 0
+        held, n = [], 0
         for b in batches:
             data, offsets = utf8(b.column(1))
             for row, (key, blob) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                first, last = unpack(blob, np.int64, np.int64)
+                first, last, anchor = unpack(blob, np.int64, np.int64, np.int64)
                 text = data[offsets[row] : offsets[row + 1]]
                 for part in range(0, len(text), CHUNK):
-                    some = (first >= part) & (first < part + CHUNK)
-                    if not some.any():
-                        continue
-                    lo, hi = first[some] - part, last[some] - part
-                    piece = text[part : part + CHUNK + 3 * window]
-                    at = np.unique(np.repeat(lo - np.r_[0, np.cumsum(hi - lo + 1)[:-1]], hi - lo + 1) + np.arange((hi - lo + 1).sum()))
-                    whole = mix64(roll.slices(roll.prefix(piece, 0), at, at + window, 0))
-                    check = mix64(roll.slices(roll.prefix(piece, 1), at, at + window, 1)).astype(np.uint32)
-                    held.append((np.full(len(at), key, np.int64), at + part, whole, check))
-                    n += len(at)
+                    some = (anchor >= part) & (anchor < part + CHUNK)
+                    if some.any():
+                        back = min(part, 512)
+                        base, *rest = window_groups(text[part - back : part + CHUNK + 1024], *(c[some] - (part - back) for c in (first, last, anchor)), window)
+                        held.append((np.full(len(base), key, np.int64), base + (part - back), *rest))
+                        n += len(base)
             if n >= FLUSH_RUNS:
                 yield from _send_windows(buckets, window, *map(np.concatenate, zip(*held, strict=True)))
                 held, n = [], 0
@@ -278,22 +302,33 @@ def send_windows(buckets: int, window: int):
 
 
 def sort_windows(buckets: int, window: int):
-    """Task over the windows of whole buckets: all but the first of each group of equals."""
+    """Task over the windows of whole buckets: all but the first of each group of equals. A core that stands alone leaves at once."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for b in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == PARTIAL:
-                    whole, check, key, at = unpack(blob, U64, np.uint32, np.int64, np.int64)
-                    held.append((whole, check, np.cumsum(key), at))
+                    core, check, left, right, key, base, span = unpack(blob, U64, np.uint16, U64, U64, np.int64, np.int64, np.uint8)
+                    held.append((core, check, left, right, np.cumsum(key), base, span))
                 else:
                     yield batch(BLOBS, [bucket], [kind], [blob])
-        if held:
-            whole, check, key, at = map(np.concatenate, zip(*held, strict=True))
-            order, new = _firsts(whole, check, key, at)
-            again = order[~new]
-            yield _out(buckets, REPEAT, key[again], at[again], at[again] + window)
+        if not held:
+            return
+        core, check, left, right, key, base, span = map(np.concatenate, zip(*held, strict=True))
+        order, new = _firsts(core, check, key, base)
+        many = np.repeat(np.diff(np.r_[np.flatnonzero(new), len(new)]) > 1, np.diff(np.r_[np.flatnonzero(new), len(new)]))
+        order = order[many]
+        core, check, left, right, key, base, span = (c[order] for c in (core, check, left, right, key, base, span))
+        low, high = np.full(len(core), GROUP), np.full(len(core), -1)
+        for i in range(GROUP):
+            here = np.flatnonzero((span // GROUP <= i) & (i <= span % GROUP))
+            before, behind = left[here] & U64((1 << 8 * (GROUP - 1 - i)) - 1), right[here] & U64((1 << 8 * i) - 1)
+            order, new = _firsts(core[here], check[here], before, behind, key[here], base[here])
+            again = here[order[~new]]
+            low[again], high[again] = np.minimum(low[again], i), i
+        again = np.flatnonzero(high >= 0)
+        yield _out(buckets, REPEAT, key[again], base[again] + low[again], base[again] + high[again] + window)
 
     return task
 
@@ -306,7 +341,7 @@ def _rest(text: np.ndarray, blobs: tuple[bytes | None, ...]) -> tuple[bytes, int
     found = [unpack(x, np.int64, np.int64) for x in blobs if x]
     if not found:
         return text.tobytes(), 0
-    start, end = _merged(*map(np.concatenate, zip(*found, strict=True)), True)
+    start, end = _merged(*map(np.concatenate, zip(*found, strict=True)))
     cuts = zip([0, *end], [*start, len(text)], strict=True)
     return b"".join(text[a:b].tobytes() for a, b in cuts), len(start)
 
@@ -333,11 +368,6 @@ def _gathered(blobs: DataFrame, buckets: int, name: str) -> DataFrame:
     return stored(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(gather, "key long, repeats binary, runs binary"), name)
 
 
-def _near(rows: DataFrame, size) -> DataFrame:
-    """A stored table, marked for a broadcast only if its bytes are few."""
-    return F.broadcast(rows) if small(rows, size + 16, BROADCAST_BYTES) else rows
-
-
 def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """texts: key (long, unique), text. A row per text with repeated bytes, stored: key, and two packed lists of their intervals."""
     texts = texts.select("key", "text")
@@ -346,15 +376,14 @@ def repeats(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     runs = runs.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_runs(buckets, window), BLOBS_DDL)
     marks = _gathered(runs, buckets, "run-repeats")
     wanted = stored(marks.filter("runs IS NOT NULL").select("key", "runs"), "partial-runs")
-    windows = texts.join(_near(wanted, F.length("runs")), "key").mapInArrow(send_windows(buckets, window), BLOBS_DDL)
+    windows = texts.join(wanted.hint("merge"), "key").mapInArrow(send_windows(buckets, window), BLOBS_DDL)
     windows = windows.repartitionById(buckets, F.col("bucket")).mapInArrow(sort_windows(buckets, window), BLOBS_DDL)
     more = _gathered(windows, buckets, "window-repeats").select("key", F.col("repeats").alias("more"))
     return stored(marks.select("key", "repeats").join(more, "key", "full").filter("repeats IS NOT NULL OR more IS NOT NULL"), "repeats")
 
 
 def _beside(texts: DataFrame, found: DataFrame) -> DataFrame:
-    size = F.coalesce(F.length("repeats"), F.lit(0)) + F.coalesce(F.length("more"), F.lit(0))
-    return texts.join(_near(found, size), "key", "left")
+    return texts.join(found.hint("merge"), "key", "left")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
