@@ -1,10 +1,397 @@
-"""The registered queries over the vector tables, with their DuckDB SQL."""
+"""The registered queries over the vector tables.
+
+All work on `embeddings` (vec_id, embedding of 64 values, label). Its rows are records, vec_id is
+both id and position, and the vectors of vec_id below 20 are the query batch.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stratavec.functions import distance, energy, transform
+from stratavec.functions.spec import FLOAT, ONE_BIT, TWO_BIT, IndexSpec
+from stratavec.operators import delta, evaluation, knn, prepare, voting
+from stratavec.plans.oracles import ORACLE_SQL  # noqa: F401
+from stratavec.sources import interop
+from stratavec.sources.index import Index, build, concatenated, tombstoned
+
+DIM = 64
+QUERIES = {}
+ASKED = 20
+THRESHOLD = 26
+TARGET = 5
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir).filter(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+
+
+def index(spark: SparkSession, sf_dir: str, q_mode: int = ONE_BIT, tiers: tuple[int, ...] = (DIM,), half: bool = True, budget: float = 0.90) -> Index:
+    spec = IndexSpec(DIM, tiers, q_mode, half)
+    return Index(build(records(spark, sf_dir).withColumn("row_idx", F.col("id")), spec, row_idx_col="row_idx"), spec, budget=budget)
+
+
+def votes(spark: SparkSession, sf_dir: str, threshold: int = THRESHOLD) -> DataFrame:
+    return prepare.vote_batch(asked(spark, sf_dir), 8, threshold)
+
+
+def found(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", "rank", "id", F.round("dist", 6).alias("dist"))
+
+
+@query
+def encode_popcount(spark, sf_dir):
+    """Codes as two halves and their number of ones."""
+    rows = index(spark, sf_dir).rows
+    return rows.select("id", F.bit_count("w0").alias("ones"), F.shiftrightunsigned("w0", 32).alias("high"), F.col("w0").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+
+
+@query
+def encode_two_bit(spark, sf_dir):
+    """Two-bit codes: ones of sign and mask, and their low halves."""
+    rows = index(spark, sf_dir, TWO_BIT).rows
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    return rows.select("id", F.bit_count("s0").alias("signs"), F.bit_count("m0").alias("active"), low("s0").alias("s_low"), low("m0").alias("m_low"))
+
+
+@query
+def rotate_round6(spark, sf_dir):
+    rows = transform.rotated(records(spark, sf_dir), IndexSpec(DIM))
+    return rows.select("id", F.posexplode("vector").alias("i", "z")).select("id", "i", (F.round("z", 6) + 0.0).alias("z"))
+
+
+@query
+def rotate_sql_twin(spark, sf_dir):
+    """The rotation as array expressions only; the same rows."""
+    spec = IndexSpec(DIM)
+    rows = records(spark, sf_dir).select("id", transform.signed(F.col("vector").cast("array<double>"), spec).alias("x"))
+    return rows.select("id", F.posexplode(transform.walsh(F.col("x"), DIM)).alias("i", "z")).select("id", "i", (F.round("z", 6) + 0.0).alias("z"))
+
+
+@query
+def l2_norm_check(spark, sf_dir):
+    rows = records(spark, sf_dir).select("id", "vector", transform.normalised(F.col("vector").cast("array<double>")).alias("unit"))
+    norm = lambda c: F.round(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v.cast("double") * v)), 6)
+    return rows.select("id", norm("vector").alias("norm"), norm("unit").alias("unit_norm"))
+
+
+@query
+def back_project_error(spark, sf_dir):
+    """Rotated there and back: the input again."""
+    spec = IndexSpec(DIM)
+    back = transform.rotated(transform.rotated(records(spark, sf_dir), spec), spec, inverse=True)
+    return back.select("id", F.posexplode("vector").alias("i", "x")).select("id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+@query
+def half_round(spark, sf_dir):
+    rows = records(spark, sf_dir).select("id", F.posexplode("vector").alias("i", "x"))
+    return rows.select("id", "i", F.round(transform.half(F.col("x")).cast("double"), 9).alias("h"))
+
+
+@query
+def unpack_bits(spark, sf_dir):
+    """Codes unpacked to +1 and -1."""
+    rows = index(spark, sf_dir).rows.select("id", F.posexplode(transform.unpacked(F.col("w0"))).alias("i", "b"))
+    return rows.select("id", "i", F.col("b").cast("int").alias("b"))
+
+
+@query
+def hamming_knn10(spark, sf_dir):
+    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir))
+    order = Window.partitionBy("qid").orderBy("dist", "row_idx")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("qid", "rank", "id", "dist")
+
+
+@query
+def hamming_matrix_stats(spark, sf_dir):
+    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir))
+    stats = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("deviation"), F.min("dist").alias("least"), F.max("dist").alias("most"))
+    return stats.select("qid", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most")
+
+
+@query
+def knn_1bit_fp16_k10(spark, sf_dir):
+    return found(knn.batch_search(index(spark, sf_dir), asked(spark, sf_dir), 10))
+
+
+@query
+def knn_1bit_asym_k10(spark, sf_dir):
+    return found(knn.batch_search(index(spark, sf_dir, half=False), asked(spark, sf_dir), 10))
+
+
+@query
+def knn_2bit_fp16_k10(spark, sf_dir):
+    return found(knn.batch_search(index(spark, sf_dir, TWO_BIT), asked(spark, sf_dir), 10))
+
+
+@query
+def knn_2bit_asym_k10(spark, sf_dir):
+    return found(knn.batch_search(index(spark, sf_dir, TWO_BIT, half=False), asked(spark, sf_dir), 10))
+
+
+@query
+def knn_fp32_k10(spark, sf_dir):
+    return knn.batch_search(index(spark, sf_dir, FLOAT, half=False), asked(spark, sf_dir), 10).select("qid", "rank", "id", "score")
+
+
+@query
+def knn_scores_padded(spark, sf_dir):
+    """Whole-number scores, padded: ranks up to 5 for each query."""
+    rows = knn.batch_search(index(spark, sf_dir), asked(spark, sf_dir), 5, pad=True)
+    return rows.select("qid", "rank", "id", F.round(F.col("score") / 1000).cast("long").alias("score_k"))
+
+
+@query
+def exact_knn10(spark, sf_dir):
+    return found(knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir), 10, DIM))
+
+
+@query
+def recall_at_k(spark, sf_dir):
+    """Recall of both code kinds, reranked or not, against exact neighbours."""
+    truth = knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir), 10, DIM)
+    out = None
+    for name, mode, half in (("1bit_half", ONE_BIT, True), ("1bit_asym", ONE_BIT, False), ("2bit_half", TWO_BIT, True), ("2bit_asym", TWO_BIT, False)):
+        got = knn.batch_search(index(spark, sf_dir, mode, half=half), asked(spark, sf_dir), 10)
+        for k in (1, 5, 10):
+            row = evaluation.recall(truth, got, k).select(F.lit(name).alias("mode"), "k", F.round("recall", 6).alias("recall"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def vote_mask_1bit(spark, sf_dir):
+    return voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir))
+
+
+@query
+def vote_mask_2bit(spark, sf_dir):
+    return voting.query_grid(index(spark, sf_dir, TWO_BIT), votes(spark, sf_dir, 60))
+
+
+@query
+def vote_ungated(spark, sf_dir):
+    return voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir), gates=False)
+
+
+@query
+def resonant_count(spark, sf_dir):
+    return voting.resonant(voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir)))
+
+
+@query
+def radius_vote(spark, sf_dir):
+    return voting.radius_vote(records(spark, sf_dir), votes(spark, sf_dir), DIM)
+
+
+def _deleted(index: Index) -> Index:
+    return tombstoned(index, F.col("id") % 10 == 0)
+
+
+@query
+def tombstoned_knn(spark, sf_dir):
+    return found(knn.batch_search(_deleted(index(spark, sf_dir)), asked(spark, sf_dir), 10))
+
+
+@query
+def tombstoned_vote(spark, sf_dir):
+    return voting.query_grid(_deleted(index(spark, sf_dir)), votes(spark, sf_dir))
+
+
+@query
+def tier_budget_knn(spark, sf_dir):
+    """Four tiers of 16, of which half the energy needs two; all tiers count in the reranking."""
+    rows = knn.batch_search(index(spark, sf_dir, tiers=(16, 32, 48, 64), budget=0.5), asked(spark, sf_dir), 10)
+    return found(rows)
+
+
+def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations derived from embeddings: inserts from vec_id 450, deletes of every seventh, and some inserted again."""
+    rows = table(spark, sf_dir).filter("vec_id >= 450").select((F.col("vec_id") - 450).alias("s"), F.when(F.col("vec_id") % 2 == 1, F.col("vec_id")).otherwise(F.col("vec_id") + 10000).alias("id"), F.col("embedding").alias("vector"))
+    insert = rows.select(F.col("s").alias("seq"), F.lit(1).cast("tinyint").alias("op"), "id", "vector")
+    delete = rows.filter("s % 7 = 0").select((F.col("s") + 1000000).alias("seq"), F.lit(2).cast("tinyint").alias("op"), "id", F.lit(None).cast("array<float>").alias("vector"))
+    again = rows.filter("s % 21 = 0").select((F.col("s") + 2000000).alias("seq"), F.lit(1).cast("tinyint").alias("op"), "id", "vector")
+    return insert.unionByName(delete).unionByName(again)
+
+
+@query
+def delta_live(spark, sf_dir):
+    return delta.live(op_log(spark, sf_dir)).select("seq", "id", F.size("vector").alias("dim"))
+
+
+@query
+def needs_flush(spark, sf_dir):
+    return delta.sizes(op_log(spark, sf_dir), 40)
+
+
+@query
+def delta_knn(spark, sf_dir):
+    return found(delta.delta_knn(op_log(spark, sf_dir), asked(spark, sf_dir), 10, DIM))
+
+
+@query
+def search_merged(spark, sf_dir):
+    return delta.search_merged(index(spark, sf_dir), op_log(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", "rank", "id", "src")
+
+
+def _halves(spark, sf_dir) -> list[Index]:
+    whole = index(spark, sf_dir)
+    low = Index(whole.rows.filter("id < 250"), whole.spec)
+    return [low, Index(whole.rows.filter("id >= 250").withColumn("row_idx", F.col("row_idx") - 250), whole.spec)]
+
+
+@query
+def compact_knn(spark, sf_dir):
+    """Two halves joined and searched: the whole index's results."""
+    rows = knn.batch_search(concatenated(_halves(spark, sf_dir)), asked(spark, sf_dir), 10)
+    return rows.select("qid", "rank", "id", "row_idx", F.round("dist", 6).alias("dist"))
+
+
+def _labelled_pairs(spark, sf_dir) -> DataFrame:
+    labels = table(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
+    wanted = table(spark, sf_dir).filter((F.col("label") == TARGET) & (F.col("vec_id") < 200)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+    pairs = knn.hamming_pairs(index(spark, sf_dir), wanted)
+    return pairs.join(labels, "id").withColumn("target", F.col("label") == TARGET)
+
+
+@query
+def class_distance_stats(spark, sf_dir):
+    stats = evaluation.distance_stats(_labelled_pairs(spark, sf_dir), "target")
+    return stats.select("target", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most")
+
+
+@query
+def threshold_sweep_f1(spark, sf_dir):
+    return evaluation.threshold_sweep(_labelled_pairs(spark, sf_dir)).select("threshold", "tp", "fp", F.round("f1", 6).alias("f1"))
+
+
+@query
+def confusion(spark, sf_dir):
+    """Rows with at least five target queries within 26 bits, against the label."""
+    near = _labelled_pairs(spark, sf_dir).groupBy("row_idx").agg(F.max("target").alias("target"), F.count_if(F.col("dist") <= THRESHOLD).alias("n"))
+    counts = evaluation.confusion(near, F.col("n") >= 5, F.col("target"))
+    return counts.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall_rate", "f1")])
+
+
+@query
+def normal_curve(spark, sf_dir):
+    """The normal curves of both classes' distances at 100 points."""
+    stats = evaluation.distance_stats(_labelled_pairs(spark, sf_dir), "target").select("target", "mean", "deviation")
+    return evaluation.density(stats, "mean", "deviation", 100, 64.0).select("target", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query
+def candidate_tradeoff(spark, sf_dir):
+    truth = knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir), 10, DIM)
+    rows = evaluation.tradeoff(index(spark, sf_dir), truth, asked(spark, sf_dir), [10, 50, 100])
+    return rows.select("k", F.round("reduction", 6).alias("reduction"), F.round("recall", 6).alias("recall"))
+
+
+@query
+def spectral_energy(spark, sf_dir):
+    """Cumulative energy of diagonal weights 2, 1, 0.5, 0, as SQL would sum it."""
+    phi = energy.cumulative(np.diag([2.0, 1.0, 0.5, 0.0]))
+    return spark.createDataFrame([(i + 1, round(float(p), 6)) for i, p in enumerate(phi)], "k int, phi double")
+
+
+@query
+def kron_rotate_w12(spark, sf_dir):
+    """A tier of 12: Hadamard of 4 times cosine of 3, on the first 12 values."""
+    rows = records(spark, sf_dir).select("id", prepare.sliced(F.col("vector"), 12).alias("vector"))
+    rows = transform.rotated(rows, IndexSpec(12, (12,)))
+    return rows.select("id", F.posexplode("vector").alias("i", "z")).select("id", "i", (F.round("z", 6) + 0.0).alias("z"))
+
+
+@query
+def replicate_modulo(spark, sf_dir):
+    rows = prepare.replicated(table(spark, sf_dir).select(F.col("vec_id").alias("id"), "label"), 1234)
+    return rows.select("id", "label")
+
+
+@query
+def replicate_noise(spark, sf_dir):
+    return prepare.tiled(records(spark, sf_dir), 3, 1e-5)
+
+
+@query
+def class_shift(spark, sf_dir):
+    rows = table(spark, sf_dir).select(F.col("vec_id").alias("id"), prepare.shifted(F.col("embedding"), F.col("label") == 1, dims=8).alias("v"))
+    return rows.select("id", F.posexplode("v").alias("i", "v")).select("id", "i", F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query
+def pad_slice(spark, sf_dir):
+    """The first 33 dimensions, padded with zeros to 64."""
+    rows = records(spark, sf_dir).select("id", transform.padded(prepare.sliced(F.col("vector"), 33)).alias("v"))
+    return rows.select("id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
+@query
+def canary_vote(spark, sf_dir):
+    """Three rows overwritten by one vector, which eight families ask for at distance 0."""
+    first = np.array(table(spark, sf_dir).filter("vec_id = 7").first()["embedding"], np.float32).reshape(1, -1)
+    spec = IndexSpec(DIM, (DIM,))
+    canary = [float(v) for v in transform.oriented(first, spec)[0]]
+    rows = prepare.injected(records(spark, sf_dir), [10, 200, 499], canary).withColumn("row_idx", F.col("id"))
+    asked_ = spark.createDataFrame([(i, canary, i, 0) for i in range(8)], "qid long, qvec array<float>, family int, threshold int")
+    return voting.query_grid(Index(build(rows, spec, row_idx_col="row_idx"), spec), asked_).filter("mask <> 0")
+
+
+def _round_trip(rows: DataFrame, schema: str, there_and_back) -> DataFrame:
+    def task(batches):
+        for b in batches:
+            yield there_and_back(b)
+
+    return rows.mapInArrow(task, schema)
+
+
+@query
+def wal_roundtrip(spark, sf_dir):
+    """The op log through its binary form, a batch at a time."""
+
+    def coded(b):
+        rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+        back = list(interop.parse_log(interop.log_bytes((op, i, v) for _, op, i, v in rows), DIM))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([r[1] for r in back], pa.int32()), pa.array([r[2] for r in back], pa.int64()), pa.array([len(r[3] or ()) for r in back], pa.int32())], names=["seq", "op", "id", "dim"])
+
+    return _round_trip(op_log(spark, sf_dir).select("seq", "op", "id", "vector"), "seq long, op int, id long, dim int", coded)
+
+
+@query
+def fvecs_roundtrip(spark, sf_dir):
+    def coded(b):
+        vectors = transform.matrix(b.column(1), DIM)
+        back = interop.parse_vecs(interop.vecs_bytes(vectors))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(back.astype(np.float64).sum(1))], names=["id", "total"])
+
+    return _round_trip(records(spark, sf_dir), "id long, total double", coded).select("id", F.round("total", 6).alias("total"))
+
+
+@query
+def header_roundtrip(spark, sf_dir):
+    spec = IndexSpec(DIM, (16, 64), TWO_BIT, False, 1, 1737400)
+    back, n = interop.parse_header(interop.header_bytes(spec, records(spark, sf_dir).count()))
+    return spark.createDataFrame([(back.dim, n, json.dumps(list(back.tiers)), back.q_mode, back.planet_id, back.radius)], "dim int, n long, tiers string, q_mode int, planet_id int, radius long")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "distance"]
