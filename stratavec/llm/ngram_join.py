@@ -47,7 +47,7 @@ GROUP_BYTES = 1 << 22
 BROADCAST_BYTES = 16 << 20
 BLOBS = {"bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
 BLOBS_DDL = "bucket int, kind int, blob binary"
-ENTRY, META, SHARED = 0, 1, 2
+ENTRY, META, SHARED, CANDIDATE = 0, 1, 2, 3
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -217,21 +217,40 @@ def stay_task(buckets: int, percent: int):
     return task
 
 
-def candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task over whole hash buckets of candidate n-grams: each text with the smallest that shares one."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(unpack(blob, np.int64, np.uint32))
-    for parts in held.values():
-        key, value = map(np.concatenate, zip(*parts, strict=True))
-        order = np.lexsort((key, value))
-        key, value = key[order], value[order]
-        cuts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-        sizes = np.diff(np.r_[cuts, len(value)])
-        pairs = np.stack([key, np.repeat(key[cuts], sizes)], 1)
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        yield batch({"a": pa.int64(), "b": pa.int64()}, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+def candidate_task(buckets: int):
+    """Task over whole hash buckets of candidate n-grams: each text with the smallest that shares one, by the text's bucket."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.setdefault(bucket, []).append(unpack(blob, np.int64, np.uint32))
+        for parts in held.values():
+            key, value = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((key, value))
+            key, value = key[order], value[order]
+            cuts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+            sizes = np.diff(np.r_[cuts, len(value)])
+            yield _by_key(buckets, CANDIDATE, *_distinct(key, np.repeat(key[cuts], sizes)))
+
+    return task
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of different keys."""
+    some = a != b
+    a, b = a[some], b[some]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return a[new], b[new]
+
+
+def pair_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over whole key buckets: the distinct candidate pairs of each text."""
+    held = [unpack(blob, np.int64, np.int64) for b in batches for blob in b.column(2).to_pylist()]
+    if held:
+        yield batch({"a": pa.int64(), "b": pa.int64()}, *_distinct(*map(np.concatenate, zip(*held, strict=True))))
 
 
 SETS = {"block": pa.int64(), "part": pa.int32(), "parts": pa.int32(), "key": pa.int64(), "grams": pa.binary()}
@@ -323,7 +342,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meta = stayed.filter("key IS NOT NULL").select("key", "n", "s1", "s2")
     classes = meta.filter("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
     members = stored(meta.join(classes, ["s1", "s2"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep")), "classes")
-    pairs = stayed.filter("key IS NULL").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(candidate_task, "a long, b long").distinct()
+    pairs = stayed.filter("key IS NULL").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(candidate_task(buckets), BLOBS_DDL)
+    pairs = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(pair_task, "a long, b long")
     reps = members.select(F.col("key").alias("a"), F.col("rep").alias("ra"))
     pairs = pairs.join(reps, "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     blocks = stored(components(pairs).join(members.select(F.col("key").alias("node"), "n"), "node"), "candidate-blocks")
