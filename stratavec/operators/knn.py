@@ -25,7 +25,7 @@ from stratavec.sources.index import Index
 
 LEAST_CANDIDATES = 100
 ROWS = 4096
-SCANNED = "qid long, row_idx long, s1 double"
+SCANNED = "qid long, row_idx long, code_dist double"
 INT_MAX = 2147483647
 
 
@@ -99,23 +99,23 @@ def scan_task(spec: IndexSpec, names: list[str], queries: Queries, keep: int):
                     best[i] = rows[order], all_d[order]
         for i, (row, d) in enumerate(best):
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), queries.ids[i])), pa.array(row), pa.array(d)], names=["qid", "row_idx", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), queries.ids[i])), pa.array(row), pa.array(d)], names=["qid", "row_idx", "code_dist"])
 
     return task
 
 
 def scan(index: Index, queries: Queries, keep: int, last_tier: int | None = None, live_only: bool = True) -> DataFrame:
-    """The keep best live rows of each query by code distance: qid, row_idx, s1, r1 (rank from 1)."""
+    """The keep best live rows of each query by code distance: qid, row_idx, code_dist, r1 (rank from 1)."""
     ready(index.rows.sparkSession)
     names = index.spec.code_columns(index.last_tier if last_tier is None else last_tier)
     rows = index.rows.filter("is_live") if live_only else index.rows
     found = rows.select("row_idx", *names).mapInArrow(scan_task(index.spec, names, queries, keep), SCANNED)
-    order = Window.partitionBy("qid").orderBy("s1", "row_idx")
+    order = Window.partitionBy("qid").orderBy("code_dist", "row_idx")
     return found.withColumn("r1", F.row_number().over(order)).filter(F.col("r1") <= keep)
 
 
 def rerank_task(spec: IndexSpec, names: list[str], half: bool, queries: Queries):
-    """Task over qid, row_idx, s1, id and the half vector or all codes: the exact or asymmetric distance."""
+    """Task over qid, row_idx, code_dist, id and the half vector or all codes: the exact or asymmetric distance."""
     z, place = rotate(queries.vectors, spec), {int(q): i for i, q in enumerate(queries.ids)}
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def rerank_task(spec: IndexSpec, names: list[str], half: bool, queries: Queries)
                     values = unpack_words(columns[n:], spec) * np.where(unpack_words(columns[:n], spec), 1.0, -1.0)
                 last = spec.tiers[-1]
                 d = z[at][:, :last] - values[:, :last]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((d * d).sum(1))], names=["qid", "row_idx", "s1", "id", "dist"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((d * d).sum(1))], names=["qid", "row_idx", "code_dist", "id", "dist"])
 
     return task
 
@@ -154,14 +154,14 @@ def batch_search(index: Index, queries: DataFrame | np.ndarray, k: int, candidat
     if not len(asked.ids) or keep == 0:
         return spark.createDataFrame([], "qid long, rank int, id long, score int, dist double, row_idx long")
     if index.spec.q_mode == FLOAT:
-        found = F.broadcast(scan(index, asked, k)).join(index.rows.select("row_idx", "id"), "row_idx").select("qid", F.col("r1").alias("rank"), "id", F.lit(0).alias("score"), F.col("s1").alias("dist"), "row_idx")
+        found = F.broadcast(scan(index, asked, k)).join(index.rows.select("row_idx", "id"), "row_idx").select("qid", F.col("r1").alias("rank"), "id", F.lit(0).alias("score"), F.col("code_dist").alias("dist"), "row_idx")
     else:
         half = use_half and index.has_half
         names = ["vec_h"] if half else index.spec.code_columns()
-        near = F.broadcast(scan(index, asked, keep).select("qid", "row_idx", "s1"))
-        rows = index.rows.select("row_idx", "id", *names).join(near, "row_idx").select("qid", "row_idx", "s1", "id", *names)
-        ranked = rows.mapInArrow(rerank_task(index.spec, names, half, asked), "qid long, row_idx long, s1 double, id long, dist double")
-        order = Window.partitionBy("qid").orderBy("dist", "s1", "row_idx")
+        near = F.broadcast(scan(index, asked, keep).select("qid", "row_idx", "code_dist"))
+        rows = index.rows.select("row_idx", "id", *names).join(near, "row_idx").select("qid", "row_idx", "code_dist", "id", *names)
+        ranked = rows.mapInArrow(rerank_task(index.spec, names, half, asked), "qid long, row_idx long, code_dist double, id long, dist double")
+        order = Window.partitionBy("qid").orderBy("dist", "code_dist", "row_idx")
         found = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         found = found.select("qid", "rank", "id", score(F.col("dist")).alias("score"), "dist", "row_idx")
     return padded_results(found, asked.ids, k) if pad else found
