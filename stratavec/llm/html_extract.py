@@ -150,7 +150,9 @@ def extract(page: str | None, weights: np.ndarray) -> str:
         inner = sum(t[1] for t in found[max(most[0], lo) : min(most[1], hi)])
         lo, hi = most if 2 * inner >= sum(t[1] for t in found[lo:hi]) else (lo, hi)
     blocks, now = [], []
-    for _, _, text, name, _ in found[lo:hi]:
+    for kind, _, text, name, _ in found[lo:hi]:
+        if kind == SKIPPED and (name in RAW or name == "button"):  # gone without a break
+            continue
         if text is not None:
             now.append(text)
         elif name == "br":

@@ -185,18 +185,26 @@ def best_fit(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]
     return out
 
 
+#: How much of the fitted counts is used before best fit takes over, and whether threes are among the patterns; the plan of the fewest sequences is taken.
+VARIANTS = ((1.0, True), (1.0, False), (0.8, True), (0.8, False), (0.5, False))
+
+
+def _packed(lower: np.ndarray, capacity: int, share: float, threes: bool) -> list[tuple[tuple[int, ...], int]]:
+    found = [p for p in patterns(capacity, lower) if threes or len(p) == 2]
+    used = [(p, n) for p, t in zip(found, fit(lower, found), strict=True) if (n := int(share * t))]
+    left = lower.tolist()
+    for p, n in used:
+        for x in p:
+            left[x] -= n
+    return used + best_fit(left, capacity)
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Rows length, first piece of that length, how many, first sequence, offset: the place of every piece."""
     full = int(histogram[capacity])
     lower = histogram.copy()
     lower[capacity] = 0
-    found = patterns(capacity, lower)
-    used = [(p, n) for p, n in zip(found, fit(lower, found), strict=True) if n]
-    left = lower.tolist()
-    for p, n in used:
-        for x in p:
-            left[x] -= n
-    used += best_fit(left, capacity)
+    used = min((_packed(lower, capacity, *v) for v in VARIANTS), key=lambda u: sum(n for _, n in u))
     if full:
         used.append(((capacity,), full))
     rows, taken, sequence = [], [0] * (capacity + 1), 0
