@@ -22,7 +22,7 @@ SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 WORD_CHAR = "[^ \\t\\n\\x0B\\f\\r]"
 SYMBOLS = "#*$%&|<>"
 POSITION_BITS = 20
-LOW = (1 << POSITION_BITS) - 1
+LOW = PACKED_WORDS = (1 << POSITION_BITS) - 1
 BROADCAST_BYTES = 8 << 20
 
 
@@ -70,7 +70,7 @@ def with_counts(texts: DataFrame) -> DataFrame:
     hit = lambda i: F.get("grams", i.bitwiseAND(F.lit(LOW)).cast("int"))
     mixed = F.exists(F.sequence(F.lit(1), F.size("packed")), lambda i: _same_key(F.get("packed", i - 1), F.get("packed", i)) & (hit(F.get("packed", i - 1)) != hit(F.get("packed", i))))
     near = F.filter("packed", lambda x, i: _same_key(F.get("packed", i - 1), x) | _same_key(F.get("packed", i + 1), x))
-    rows = rows.withColumn("plain", (F.size("packed") <= LOW) & ~mixed).withColumn("near", F.when(F.col("plain"), near))
+    rows = rows.withColumn("plain", (F.size("packed") <= PACKED_WORDS) & ~mixed).withColumn("near", F.when(F.col("plain"), near))
     starts = F.sort_array(F.transform("near", lambda x: x.bitwiseAND(F.lit(LOW))))
     pairs = F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
     rows = rows.withColumn("pairs", F.when(~F.col("plain"), pairs))
