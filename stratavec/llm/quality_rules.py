@@ -16,7 +16,7 @@ from stratavec.session import pick, ready, small, stored
 
 BUCKETS = 4096
 SMOOTHING = 1.0
-MIN_SCORE = -0.2
+MIN_SCORE = -0.1
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 WORD_CHAR = "[^ \\t\\n\\x0B\\f\\r]"
