@@ -24,7 +24,7 @@ from stratavec.session import ready
 from stratavec.sources.index import Index
 
 LEAST_CANDIDATES = 100
-ROWS = 4096
+ROWS = 1 << 14
 SCANNED = "qid long, row_idx long, code_dist double"
 INT_MAX = 2147483647
 
@@ -59,8 +59,12 @@ def _distances(columns: list[np.ndarray], spec: IndexSpec, query: dict[str, np.n
         for one in z:
             yield np.trunc(np.minimum(((rows - one) ** 2).sum(1) * 1000, INT_MAX))
     elif spec.q_mode == ONE_BIT:
+        words, total = [c.view(np.uint64) for c in columns], np.empty(len(columns[0]), np.uint16)
         for i in range(len(z)):
-            yield sum(ones(c ^ query[n][i]) for c, n in zip(columns, names, strict=True)).astype(np.float64)
+            total[:] = 0
+            for c, n in zip(words, names, strict=True):
+                total += np.bitwise_count(c ^ query[n].view(np.uint64)[i])
+            yield total
     else:
         half = len(names) // 2
         for i in range(len(z)):
@@ -68,7 +72,19 @@ def _distances(columns: list[np.ndarray], spec: IndexSpec, query: dict[str, np.n
             for s, m, sn, mn in zip(columns[:half], columns[half:], names[:half], names[half:], strict=True):
                 qs, qm = query[sn][i], query[mn][i]
                 total += 4 * ones(m & qm & (s ^ qs)) + ones(m ^ qm)
-            yield total.astype(np.float64)
+            yield total
+
+
+def _kept(best: tuple[np.ndarray, np.ndarray], row: np.ndarray, d: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best so far (row, distance) with a chunk's rows among them. What cannot be kept isn't sorted."""
+    old_row, old = best
+    most = old[-1] if len(old) == keep else np.partition(d, keep - 1)[keep - 1] if len(d) > keep else np.inf
+    near = np.flatnonzero(d <= most)
+    if not len(near):
+        return best
+    rows, distances = np.r_[old_row, row[near]], np.r_[old, d[near]]
+    order = np.lexsort((rows, distances))[:keep]
+    return rows[order], distances[order]
 
 
 def scan_task(spec: IndexSpec, names: list[str], queries: Queries, keep: int):
@@ -87,16 +103,7 @@ def scan_task(spec: IndexSpec, names: list[str], queries: Queries, keep: int):
                 else:
                     columns = [c.to_numpy() for c in part.columns[1:]]
                 for i, d in enumerate(_distances(columns, spec, query, z, names)):
-                    old_row, old = best[i]
-                    if len(old) == keep:
-                        near = np.flatnonzero(d <= old[-1])
-                        if not len(near):
-                            continue
-                        rows, all_d = np.r_[old_row, row[near]], np.r_[old, d[near]]
-                    else:
-                        rows, all_d = np.r_[old_row, row], np.r_[old, d]
-                    order = np.lexsort((rows, all_d))[:keep]
-                    best[i] = rows[order], all_d[order]
+                    best[i] = _kept(best[i], row, d, keep)
         for i, (row, d) in enumerate(best):
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), queries.ids[i])), pa.array(row), pa.array(d)], names=["qid", "row_idx", "code_dist"])
@@ -187,9 +194,7 @@ def exact_task(queries: Queries, dim: int, keep: int):
                 part = b.slice(at, ROWS)
                 row, x = part.column(0).to_numpy(), matrix(part.column(1), dim).astype(np.float64)
                 for i, q in enumerate(queries.vectors.astype(np.float64)):
-                    rows, d = np.r_[best[i][0], row], np.r_[best[i][1], ((x - q) ** 2).sum(1)]
-                    order = np.lexsort((rows, d))[:keep]
-                    best[i] = rows[order], d[order]
+                    best[i] = _kept(best[i], row, ((x - q) ** 2).sum(1), keep)
         for i, (row, d) in enumerate(best):
             if len(row):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), queries.ids[i])), pa.array(row), pa.array(d)], names=["qid", "id", "dist"])
