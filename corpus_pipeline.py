@@ -34,7 +34,7 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     order = [f"c{names.index(n)}" for n in ("doc_id", "text")]
     rows = plain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("number", F.monotonically_increasing_id())
-    return stored(rows.toDF(*names, name), "numbered"), name
+    return stored(rows, "numbered").toDF(*names, name), name
 
 
 def _without(docs: DataFrame, dropped: DataFrame, number: str) -> DataFrame:
