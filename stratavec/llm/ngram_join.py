@@ -126,17 +126,17 @@ def _by_key(buckets: int, kind: int, key: np.ndarray, *columns: np.ndarray) -> p
 
 
 def deal_task(buckets: int, gram: int, percent: int):
-    """Task over key, text: lower halves by hash bucket, and size and set digest of each text."""
+    """Task over key, text: lower halves by hash bucket; size, set digest and the task's first text of that set, for each text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         keys, values, meta, held = [], [], [], 0
         for b in batches:
             for key, grams in zip(b.column(0).to_pylist(), gram_sets(*utf8(b.column(1)), gram), strict=True):
                 digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-                meta.append((key, len(grams), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-                if len(grams) and digest not in seen:
-                    seen.add(digest)
+                new = digest not in seen
+                meta.append((key, len(grams), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), seen.setdefault(digest, key)))
+                if len(grams) and new:
                     half = int(_half(len(grams), percent))
                     keys.append(np.full(half, key, np.int64))
                     values.append(grams[:half])
@@ -179,8 +179,8 @@ def share_task(buckets: int):
     return task
 
 
-STAYED = {"key": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "bucket": pa.int32(), "blob": pa.binary()}
-STAYED_DDL = "key long, n long, s1 long, s2 long, bucket int, blob binary"
+STAYED = {"key": pa.int64(), "n": pa.int64(), "s1": pa.int64(), "s2": pa.int64(), "first": pa.int64(), "bucket": pa.int32(), "blob": pa.binary()}
+STAYED_DDL = "key long, n long, s1 long, s2 long, first long, bucket int, blob binary"
 
 
 def stay_task(buckets: int, percent: int):
@@ -190,7 +190,7 @@ def stay_task(buckets: int, percent: int):
         held: dict[int, list] = {META: [], SHARED: []}
         for b in batches:
             for kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held[kind].append(unpack(blob, *([np.int64] * 4 if kind == META else [np.int64, np.uint32, np.uint32, np.uint32])))
+                held[kind].append(unpack(blob, *([np.int64] * 5 if kind == META else [np.int64, np.uint32, np.uint32, np.uint32])))
         if not held[META]:
             return
         meta = list(map(np.concatenate, zip(*held[META], strict=True)))
@@ -212,7 +212,7 @@ def stay_task(buckets: int, percent: int):
         whole = value[chosen].astype(U64) * U64(buckets) + bucket[chosen].astype(U64)
         found = split_by((whole % U64(buckets)).astype(np.int32), key[chosen], value[chosen])
         none = pa.nulls(len(found), pa.int64())
-        yield batch(STAYED, none, none, none, none, [b for b, _ in found], [pack(*c) for _, c in found])
+        yield batch(STAYED, none, none, none, none, none, [b for b, _ in found], [pack(*c) for _, c in found])
 
     return task
 
@@ -339,9 +339,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = texts.select("key", "text").mapInArrow(deal_task(buckets, gram, percent), BLOBS_DDL)
     shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(share_task(buckets), BLOBS_DDL)
     stayed = stored(shared.repartitionById(buckets, F.col("bucket")).mapInArrow(stay_task(buckets, percent), STAYED_DDL), "stayed")
-    meta = stayed.filter("key IS NOT NULL").select("key", "n", "s1", "s2")
-    classes = meta.filter("n > 0").groupBy("s1", "s2").agg(F.min("key").alias("rep"))
-    members = stored(meta.join(classes, ["s1", "s2"], "left").select("key", "n", F.coalesce("rep", "key").alias("rep")), "classes")
+    meta = stayed.filter("key IS NOT NULL").select("key", "n", "s1", "s2", "first")
+    # copies go by their task's first of them: a hot class is one row from each task
+    firsts = stored(meta.filter("n > 0").groupBy("s1", "s2", "first").agg(F.min("key").alias("low")), "firsts")
+    classes = firsts.join(firsts.groupBy("s1", "s2").agg(F.min("low").alias("rep")), ["s1", "s2"]).select("first", "rep")
+    members = meta.withColumn("first", F.when(F.col("n") > 0, F.col("first"))).join(classes, "first", "left")
+    members = stored(members.select("key", "n", F.coalesce("rep", "key").alias("rep")), "classes")
     pairs = stayed.filter("key IS NULL").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(candidate_task(buckets), BLOBS_DDL)
     pairs = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(pair_task, "a long, b long")
     reps = members.select(F.col("key").alias("a"), F.col("rep").alias("ra"))
