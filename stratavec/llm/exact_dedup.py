@@ -8,6 +8,9 @@ texts of one length share a name only if they are identical.
 Naming moves whole texts. A text whose (byte length, 64-bit hash) no other text has is equal to no
 other, so its identity is settled without being moved; all texts that share that pair, equal or
 not, go through the naming, which alone decides.
+
+Names and groups are stored before rows are joined to them, so that both sides of each join are
+plain exchanges, of which adaptive execution splits those with a hot block or group.
 """
 
 from __future__ import annotations
@@ -36,13 +39,14 @@ def identities(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         "rid", "n", "blocks", "raw", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at")
     )
     blocks = blocks.select("rid", "n", "blocks", "at", F.substring("raw", F.col("at") * block_bytes + 1, F.lit(block_bytes)).alias("block"))
-    level = stored(blocks.join(_named(blocks, ["block"]), "block").select("rid", "n", "blocks", "at", "name"), "block-names")
+    level = stored(blocks.join(stored(_named(blocks, ["block"]), "names"), "block").select("rid", "n", "blocks", "at", "name"), "block-names")
     done = []
     for _ in range(max(0, math.ceil(math.log2(max(1, math.ceil(longest / block_bytes)))))):
         done.append(level.filter("blocks = 1").select("rid", "n", "name"))
         pairs = level.filter("blocks > 1").groupBy("rid", "n", "blocks", F.floor(F.col("at") / 2).cast("int").alias("at"))
         pairs = pairs.agg(F.max(F.when(F.col("at") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("at") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
-        level = stored(pairs.join(_named(pairs, ["a", "b"]), ["a", "b"]).select("rid", "n", F.ceil(F.col("blocks") / 2).cast("int").alias("blocks"), "at", "name"), "pair-names")
+        pairs = stored(pairs, "pairs")
+        level = stored(pairs.join(stored(_named(pairs, ["a", "b"]), "names"), ["a", "b"]).select("rid", "n", F.ceil(F.col("blocks") / 2).cast("int").alias("blocks"), "at", "name"), "pair-names")
     done.append(level.select("rid", "n", "name"))
     out = done[0]
     for more in done[1:]:
@@ -66,8 +70,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = source.join(few, ["n", "h"], "left_semi").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "text")
     suspects = stored(suspects.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)), "suspects")
     names = stored(identities(suspects.select("rid", "n", "text"), block_bytes), "identities")
-    rows = names.join(suspects.select("rid", "doc_id", "text_sha256"), "rid")
+    rows = stored(names.join(suspects.select("rid", "doc_id", "text_sha256"), "rid"), "named-texts")
     groups = rows.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(groups, "groups")
     grouped = rows.join(groups, ["n", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
     single = digests.join(few, ["n", "h"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     return single.unionByName(grouped)
