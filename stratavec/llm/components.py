@@ -16,16 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, not null). A row per node that has an edge to another: node, component (the smallest node reachable).
 
     Each step links a node's neighbours to the smallest of them, which keeps components and shrinks
-    every tree; a node's neighbours are never gathered, only their minimum. Ends when a round
+    every tree; a node's neighbours are never gathered, only their minimum. The minima are stored, so
+    that the edges of a node with very many can be split when they are joined. Ends when a round
     changes nothing.
     """
     rows = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = None
     while True:
         both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_mins(both), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(stored(_mins(both), "mins"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stored(large, "large-star")
-        small = large.join(_mins(large), "a")
+        small = large.join(stored(_mins(large), "mins"), "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         rows = stored(small, "small-star")
         now = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
