@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavec.llm.arrays import batch
-from stratavec.session import pick, ready
+from stratavec.session import pick, ready, stored
 
 PLACES = 1 << 13
 ORDERS = 3
 LANDMARKS_EACH = 48
 ROWS_EACH = 300
+SPREAD = 4
 LANGUAGES = 200
 RIDGE = 1e-3
 SHARPNESS = 6.0
@@ -105,11 +106,17 @@ def bits_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame) -> Model:
-    """rows: doc_id, text, lang. At most ROWS_EACH texts of each of LANGUAGES languages, chosen by the hash of doc_id, so that no order matters."""
-    wanted = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ids = rows.filter(F.col("lang").isin(wanted)) if wanted else rows.limit(0)
-    chosen = ids.select("lang", "doc_id", "text").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS_EACH).select("lang", "rank", "text")
+    """rows: doc_id, text, lang. At most about ROWS_EACH texts of each of LANGUAGES languages, those with the smallest hash of doc_id, so that no order matters.
+
+    The counts tell below which hash a few times as many lie, so that few ids are ranked however
+    many rows there are; only the chosen rows' texts are looked at.
+    """
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
+    near = rows.select("lang", "doc_id").join(F.broadcast(counts), "lang").filter(hashed < F.lit(float(SPREAD * ROWS_EACH << 31)) / F.col("count"))
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    ids = near.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS_EACH)
+    chosen = rows.join(F.broadcast(stored(ids, "language-sample")), ["lang", "doc_id"]).select("lang", "rank", "text")
     found = sorted((r["lang"], r["rank"], r["bits"]) for r in chosen.mapInArrow(bits_task, "lang string, rank int, bits binary").collect())
     x = np.array([np.unpackbits(np.frombuffer(bits, np.uint8)) for *_, bits in found], np.float32).reshape(-1, PLACES)
     return Model(x, [lang for lang, *_ in found], np.array([i for i, (_, rank, _) in enumerate(found) if rank <= LANDMARKS_EACH], int))
