@@ -29,6 +29,7 @@ from stratavec.llm.arrays import batch
 from stratavec.session import pick, ready
 
 LONG_WORD = 64
+ROWS = 8192
 CACHE_ENTRIES = 250_000
 GROUP_CHARS = 1 << 20
 #: Below this character all versions of the Unicode tables agree on letters, digits, lower case and
@@ -114,28 +115,34 @@ class Merger:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p, ok in zip(parts, alive, strict=True) if ok]
 
-    def merge(self, words: list[list[int]]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    def merge(self, words: list[bytes], symbols: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """The ids of each word: symbols and last give the token of a byte within a word and at its end."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        raw = np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8)
+        ends = np.cumsum(sizes[order])
+        flat = symbols[raw]
+        flat[ends - 1] = last[raw[ends - 1]]
+        out: list[np.ndarray] = [flat[:0]] * len(words)
         at = 0
         while at < len(order):
-            width = len(words[order[at]])
+            width = int(sizes[order[at]])
             if width > LONG_WORD:
-                out[order[at]] = self.merge_long(list(words[order[at]]))
+                out[order[at]] = np.array(self.merge_long(flat[ends[at] - width : ends[at]].tolist()), np.int32)
                 at += 1
                 continue
-            to = at
-            limit = max(4, width + width // 4)
-            while to < len(order) and to - at < 8192 and len(words[order[to]]) <= min(limit, LONG_WORD):
-                to += 1
-            some = order[at:to]
-            wide = len(words[some[-1]])
-            flat = np.full((len(some), wide), -1, np.int32)
-            sizes = np.array([len(words[i]) for i in some])
-            flat[np.arange(wide) < sizes[:, None]] = np.concatenate([words[i] for i in some])
-            merged = self.merge_rows(flat)
-            for i, row in zip(some, merged.tolist(), strict=True):
-                out[i] = row[: row.index(-1)] if row[-1] < 0 else row
+            limit = min(max(4, width + width // 4), LONG_WORD)
+            to = min(at + ROWS, int(np.searchsorted(sizes[order], limit, "right")))
+            some = sizes[order[at:to]]
+            parts = np.full((to - at, int(some[-1])), -1, np.int32)
+            parts[np.arange(parts.shape[1]) < some[:, None]] = flat[ends[at] - some[0] : ends[to - 1]]
+            parts = self.merge_rows(parts)
+            counts = (parts >= 0).sum(1)
+            whole, stops = parts[parts >= 0], np.cumsum(counts).tolist()
+            begin = 0
+            for i, stop in zip(order[at:to].tolist(), stops, strict=True):
+                out[i] = whole[begin:stop]
+                begin = stop
             at = to
         return out
 
@@ -153,19 +160,25 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         chars, end = byte_characters(), model["end_of_word_suffix"]
-        self.symbols = [model["vocab"][chars[b]] for b in range(256)]
-        self.last = [model["vocab"][chars[b] + end] for b in range(256)]
+        self.symbols = np.array([model["vocab"][chars[b]] for b in range(256)], np.int32)
+        self.last = np.array([model["vocab"][chars[b] + end] for b in range(256)], np.int32)
         self.bytes = {c: b for b, c in chars.items()}
         self.path, self.library = path, None
         self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.merged: dict[str, list[int]] = {}
-
-    def _split(self, stretch: str) -> list[str | int]:
-        """Words of a stretch, and the ids of special tokens."""
-        out: list[str | int] = []
+        self.merged: dict[str, tuple[bytes, bytes]] = {}
+        self.alone = {c: (np.array([i], "<u4").tobytes(), c.encode()) for c, i in self.special.items()}
+
+    def _split(self, stretch: str) -> list[str]:
+        """Words of a stretch, and special tokens as they are."""
+        if stretch.isascii():
+            if stretch.isalpha():
+                return [stretch.lower()]
+            if stretch[:-1].isalpha() and stretch[-1] in ".,":
+                return [stretch[:-1].lower(), stretch[-1]]
+        out: list[str] = []
         for part in self.cut.split(stretch) if "<|" in stretch else [stretch]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(part)
             elif not part or max(part) < OLD_SCRIPTS:
                 out += self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
             else:
@@ -180,14 +193,20 @@ class WordBpe:
         if len(self.known) + len(stretches) > CACHE_ENTRIES:
             self.known.clear()
             self.merged.clear()
+        if not self.merged:
+            self.merged.update(self.alone)
         new = [s for s in stretches if s not in self.known]
         split = [self._split(s) for s in new]
-        words = list({w for ws in split for w in ws if isinstance(w, str) and w not in self.merged})
-        for w, ids in zip(words, self.merger.merge([[*(self.symbols[b] for b in raw[:-1]), self.last[raw[-1]]] for raw in (w.encode() for w in words)]), strict=True):
-            self.merged[w] = ids
+        merged, tokens = self.merged, self.tokens
+        words = list({w for ws in split for w in ws if w not in merged})
+        for w, ids in zip(words, self.merger.merge([w.encode() for w in words], self.symbols, self.last), strict=True):
+            merged[w] = (ids.tobytes(), b" ".join([tokens[i] for i in ids.tolist()]))
         for s, ws in zip(new, split, strict=True):
-            ids = [i for w in ws for i in (self.merged[w] if isinstance(w, str) else (w,))]
-            self.known[s] = (np.array(ids, "<u4").tobytes(), b" ".join([self.tokens[i] for i in ids]))
+            if len(ws) == 1:
+                self.known[s] = merged[ws[0]]
+            else:
+                found = [merged[w] for w in ws]
+                self.known[s] = (b"".join([i for i, _ in found]), b" ".join([d for _, d in found]))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Ids, as little-endian unsigned 32-bit integers, and the decoded text in UTF-8, of each text."""
