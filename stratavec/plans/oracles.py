@@ -197,3 +197,15 @@ ORACLE_SQL = {
     "fvecs_roundtrip": "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings",
     "header_roundtrip": "SELECT 64 AS dim, (SELECT count(*) FROM embeddings) AS n, '[16, 64]' AS tiers, 1 AS q_mode, 1 AS planet_id, 1737400::BIGINT AS radius",
 }
+
+#: The same SQL over whole batches: every vec_id divisible by 100, with families in turn, and every row of the target label.
+_WHOLE = (("q.vec_id < 20", "q.vec_id % 100 = 0"), (" AND w.vec_id < 200", ""), ("(q.vec_id % 8)", "(q.vec_id // 100 % 8)"), ("(qid % 8)", "(qid // 100 % 8)"))
+
+
+def _whole(sql: str) -> str:
+    for fixed, whole in _WHOLE:
+        sql = sql.replace(fixed, whole)
+    return sql
+
+
+ORACLE_SQL |= {f"{name}_all": _whole(sql) for name, sql in ORACLE_SQL.items() if _whole(sql) != sql}

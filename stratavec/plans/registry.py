@@ -1,13 +1,16 @@
 """The registered queries over the vector tables.
 
 All work on `embeddings` (vec_id, embedding of 64 values, label). Its rows are records, vec_id is
-both id and position, and the vectors of vec_id below 20 are the query batch.
+both id and position. The queries that SQL fixes to an id prefix ask for the vectors of vec_id below
+20, or for the target rows below 200; beside each stands one named `_all`, whose batch is every
+vec_id divisible by 100, or every row of the target label.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ QUERIES = {}
 ASKED = 20
 THRESHOLD = 26
 TARGET = 5
+TARGETS_BELOW = 200
+ALL = "_all"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,6 +38,29 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@dataclass(frozen=True)
+class Batch:
+    """The rows that are query vectors, and by how much their vec_id ascends: place in the batch is vec_id / step."""
+
+    rows: str
+    step: int = 1
+
+
+def batched(fixed: Batch, whole: Batch) -> Callable:
+    """Registers f(spark, sf_dir, batch) twice: under its name over the fixed batch, and under its name and ALL over the whole one."""
+
+    def register(f: Callable[[SparkSession, str, Batch], DataFrame]) -> Callable[[SparkSession, str, Batch], DataFrame]:
+        for name, batch in ((f.__name__, fixed), (f.__name__ + ALL, whole)):
+            QUERIES[name] = lambda spark, sf_dir, batch=batch: f(spark, sf_dir, batch)
+        return f
+
+    return register
+
+
+search_query = batched(Batch(f"vec_id < {ASKED}"), Batch("vec_id % 100 = 0", 100))
+class_query = batched(Batch(f"label = {TARGET} AND vec_id < {TARGETS_BELOW}"), Batch(f"label = {TARGET}"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str = "embeddings") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +69,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir).filter(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+def asked(spark: SparkSession, sf_dir: str, batch: Batch) -> DataFrame:
+    return table(spark, sf_dir).filter(batch.rows).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
 def index(spark: SparkSession, sf_dir: str, q_mode: int = ONE_BIT, tiers: tuple[int, ...] = (DIM,), half: bool = True, budget: float = 0.90) -> Index:
@@ -50,8 +78,10 @@ def index(spark: SparkSession, sf_dir: str, q_mode: int = ONE_BIT, tiers: tuple[
     return Index(build(records(spark, sf_dir).withColumn("row_idx", F.col("id")), spec, row_idx_col="row_idx"), spec, budget=budget)
 
 
-def votes(spark: SparkSession, sf_dir: str, threshold: int = THRESHOLD) -> DataFrame:
-    return prepare.vote_batch(asked(spark, sf_dir), 8, threshold)
+def votes(spark: SparkSession, sf_dir: str, batch: Batch, threshold: int = THRESHOLD) -> DataFrame:
+    """Families go in turn by the place in the batch."""
+    place = (F.col("qid") / batch.step).cast("long")
+    return prepare.vote_batch(asked(spark, sf_dir, batch).withColumn("qid", place), 8, threshold)
 
 
 def found(rows: DataFrame) -> DataFrame:
@@ -115,113 +145,113 @@ def unpack_bits(spark, sf_dir):
     return rows.select("id", "i", F.col("b").cast("int").alias("b"))
 
 
-@query
-def hamming_knn10(spark, sf_dir):
-    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir))
+@search_query
+def hamming_knn10(spark, sf_dir, batch):
+    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir, batch))
     order = Window.partitionBy("qid").orderBy("dist", "row_idx")
     return pairs.withColumn("rank", F.row_number().over(order)).filter("rank <= 10").select("qid", "rank", "id", "dist")
 
 
-@query
-def hamming_matrix_stats(spark, sf_dir):
-    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir))
+@search_query
+def hamming_matrix_stats(spark, sf_dir, batch):
+    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir, batch))
     stats = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("deviation"), F.min("dist").alias("least"), F.max("dist").alias("most"))
     return stats.select("qid", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most")
 
 
-@query
-def knn_1bit_fp16_k10(spark, sf_dir):
-    return found(knn.batch_search(index(spark, sf_dir), asked(spark, sf_dir), 10))
+@search_query
+def knn_1bit_fp16_k10(spark, sf_dir, batch):
+    return found(knn.batch_search(index(spark, sf_dir), asked(spark, sf_dir, batch), 10))
 
 
-@query
-def knn_1bit_asym_k10(spark, sf_dir):
-    return found(knn.batch_search(index(spark, sf_dir, half=False), asked(spark, sf_dir), 10))
+@search_query
+def knn_1bit_asym_k10(spark, sf_dir, batch):
+    return found(knn.batch_search(index(spark, sf_dir, half=False), asked(spark, sf_dir, batch), 10))
 
 
-@query
-def knn_2bit_fp16_k10(spark, sf_dir):
-    return found(knn.batch_search(index(spark, sf_dir, TWO_BIT), asked(spark, sf_dir), 10))
+@search_query
+def knn_2bit_fp16_k10(spark, sf_dir, batch):
+    return found(knn.batch_search(index(spark, sf_dir, TWO_BIT), asked(spark, sf_dir, batch), 10))
 
 
-@query
-def knn_2bit_asym_k10(spark, sf_dir):
-    return found(knn.batch_search(index(spark, sf_dir, TWO_BIT, half=False), asked(spark, sf_dir), 10))
+@search_query
+def knn_2bit_asym_k10(spark, sf_dir, batch):
+    return found(knn.batch_search(index(spark, sf_dir, TWO_BIT, half=False), asked(spark, sf_dir, batch), 10))
 
 
-@query
-def knn_fp32_k10(spark, sf_dir):
-    return knn.batch_search(index(spark, sf_dir, FLOAT, half=False), asked(spark, sf_dir), 10).select("qid", "rank", "id", "score")
+@search_query
+def knn_fp32_k10(spark, sf_dir, batch):
+    return knn.batch_search(index(spark, sf_dir, FLOAT, half=False), asked(spark, sf_dir, batch), 10).select("qid", "rank", "id", "score")
 
 
-@query
-def knn_scores_padded(spark, sf_dir):
+@search_query
+def knn_scores_padded(spark, sf_dir, batch):
     """Whole-number scores, padded: ranks up to 5 for each query."""
-    rows = knn.batch_search(index(spark, sf_dir), asked(spark, sf_dir), 5, pad=True)
+    rows = knn.batch_search(index(spark, sf_dir), asked(spark, sf_dir, batch), 5, pad=True)
     return rows.select("qid", "rank", "id", F.round(F.col("score") / 1000).cast("long").alias("score_k"))
 
 
-@query
-def exact_knn10(spark, sf_dir):
-    return found(knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir), 10, DIM))
+@search_query
+def exact_knn10(spark, sf_dir, batch):
+    return found(knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir, batch), 10, DIM))
 
 
-@query
-def recall_at_k(spark, sf_dir):
+@search_query
+def recall_at_k(spark, sf_dir, batch):
     """Recall of both code kinds, reranked or not, against exact neighbours."""
-    truth = knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir), 10, DIM)
+    truth = knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir, batch), 10, DIM)
     out = None
     for name, mode, half in (("1bit_half", ONE_BIT, True), ("1bit_asym", ONE_BIT, False), ("2bit_half", TWO_BIT, True), ("2bit_asym", TWO_BIT, False)):
-        got = knn.batch_search(index(spark, sf_dir, mode, half=half), asked(spark, sf_dir), 10)
+        got = knn.batch_search(index(spark, sf_dir, mode, half=half), asked(spark, sf_dir, batch), 10)
         for k in (1, 5, 10):
             row = evaluation.recall(truth, got, k).select(F.lit(name).alias("mode"), "k", F.round("recall", 6).alias("recall"))
             out = row if out is None else out.unionByName(row)
     return out
 
 
-@query
-def vote_mask_1bit(spark, sf_dir):
-    return voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir))
+@search_query
+def vote_mask_1bit(spark, sf_dir, batch):
+    return voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir, batch))
 
 
-@query
-def vote_mask_2bit(spark, sf_dir):
-    return voting.query_grid(index(spark, sf_dir, TWO_BIT), votes(spark, sf_dir, 60))
+@search_query
+def vote_mask_2bit(spark, sf_dir, batch):
+    return voting.query_grid(index(spark, sf_dir, TWO_BIT), votes(spark, sf_dir, batch, 60))
 
 
-@query
-def vote_ungated(spark, sf_dir):
-    return voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir), gates=False)
+@search_query
+def vote_ungated(spark, sf_dir, batch):
+    return voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir, batch), gates=False)
 
 
-@query
-def resonant_count(spark, sf_dir):
-    return voting.resonant(voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir)))
+@search_query
+def resonant_count(spark, sf_dir, batch):
+    return voting.resonant(voting.query_grid(index(spark, sf_dir), votes(spark, sf_dir, batch)))
 
 
-@query
-def radius_vote(spark, sf_dir):
-    return voting.radius_vote(records(spark, sf_dir), votes(spark, sf_dir), DIM)
+@search_query
+def radius_vote(spark, sf_dir, batch):
+    return voting.radius_vote(records(spark, sf_dir), votes(spark, sf_dir, batch), DIM)
 
 
 def _deleted(index: Index) -> Index:
     return tombstoned(index, F.col("id") % 10 == 0)
 
 
-@query
-def tombstoned_knn(spark, sf_dir):
-    return found(knn.batch_search(_deleted(index(spark, sf_dir)), asked(spark, sf_dir), 10))
+@search_query
+def tombstoned_knn(spark, sf_dir, batch):
+    return found(knn.batch_search(_deleted(index(spark, sf_dir)), asked(spark, sf_dir, batch), 10))
 
 
-@query
-def tombstoned_vote(spark, sf_dir):
-    return voting.query_grid(_deleted(index(spark, sf_dir)), votes(spark, sf_dir))
+@search_query
+def tombstoned_vote(spark, sf_dir, batch):
+    return voting.query_grid(_deleted(index(spark, sf_dir)), votes(spark, sf_dir, batch))
 
 
-@query
-def tier_budget_knn(spark, sf_dir):
+@search_query
+def tier_budget_knn(spark, sf_dir, batch):
     """Four tiers of 16, of which half the energy needs two; all tiers count in the reranking."""
-    rows = knn.batch_search(index(spark, sf_dir, tiers=(16, 32, 48, 64), budget=0.5), asked(spark, sf_dir), 10)
+    rows = knn.batch_search(index(spark, sf_dir, tiers=(16, 32, 48, 64), budget=0.5), asked(spark, sf_dir, batch), 10)
     return found(rows)
 
 
@@ -244,14 +274,14 @@ def needs_flush(spark, sf_dir):
     return delta.sizes(op_log(spark, sf_dir), 40)
 
 
-@query
-def delta_knn(spark, sf_dir):
-    return found(delta.delta_knn(op_log(spark, sf_dir), asked(spark, sf_dir), 10, DIM))
+@search_query
+def delta_knn(spark, sf_dir, batch):
+    return found(delta.delta_knn(op_log(spark, sf_dir), asked(spark, sf_dir, batch), 10, DIM))
 
 
-@query
-def search_merged(spark, sf_dir):
-    return delta.search_merged(index(spark, sf_dir), op_log(spark, sf_dir), asked(spark, sf_dir), 10).select("qid", "rank", "id", "src")
+@search_query
+def search_merged(spark, sf_dir, batch):
+    return delta.search_merged(index(spark, sf_dir), op_log(spark, sf_dir), asked(spark, sf_dir, batch), 10).select("qid", "rank", "id", "src")
 
 
 def _halves(spark, sf_dir) -> list[Index]:
@@ -260,50 +290,49 @@ def _halves(spark, sf_dir) -> list[Index]:
     return [low, Index(whole.rows.filter("id >= 250").withColumn("row_idx", F.col("row_idx") - 250), whole.spec)]
 
 
-@query
-def compact_knn(spark, sf_dir):
+@search_query
+def compact_knn(spark, sf_dir, batch):
     """Two halves joined and searched: the whole index's results."""
-    rows = knn.batch_search(concatenated(_halves(spark, sf_dir)), asked(spark, sf_dir), 10)
+    rows = knn.batch_search(concatenated(_halves(spark, sf_dir)), asked(spark, sf_dir, batch), 10)
     return rows.select("qid", "rank", "id", "row_idx", F.round("dist", 6).alias("dist"))
 
 
-def _labelled_pairs(spark, sf_dir) -> DataFrame:
+def _labelled_pairs(spark, sf_dir, batch) -> DataFrame:
     labels = table(spark, sf_dir).select(F.col("vec_id").alias("id"), "label")
-    wanted = table(spark, sf_dir).filter((F.col("label") == TARGET) & (F.col("vec_id") < 200)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
-    pairs = knn.hamming_pairs(index(spark, sf_dir), wanted)
+    pairs = knn.hamming_pairs(index(spark, sf_dir), asked(spark, sf_dir, batch))
     return pairs.join(labels, "id").withColumn("target", F.col("label") == TARGET)
 
 
-@query
-def class_distance_stats(spark, sf_dir):
-    stats = evaluation.distance_stats(_labelled_pairs(spark, sf_dir), "target")
+@class_query
+def class_distance_stats(spark, sf_dir, batch):
+    stats = evaluation.distance_stats(_labelled_pairs(spark, sf_dir, batch), "target")
     return stats.select("target", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "most")
 
 
-@query
-def threshold_sweep_f1(spark, sf_dir):
-    return evaluation.threshold_sweep(_labelled_pairs(spark, sf_dir)).select("threshold", "tp", "fp", F.round("f1", 6).alias("f1"))
+@class_query
+def threshold_sweep_f1(spark, sf_dir, batch):
+    return evaluation.threshold_sweep(_labelled_pairs(spark, sf_dir, batch)).select("threshold", "tp", "fp", F.round("f1", 6).alias("f1"))
 
 
-@query
-def confusion(spark, sf_dir):
+@class_query
+def confusion(spark, sf_dir, batch):
     """Rows with at least five target queries within 26 bits, against the label."""
-    near = _labelled_pairs(spark, sf_dir).groupBy("row_idx").agg(F.max("target").alias("target"), F.count_if(F.col("dist") <= THRESHOLD).alias("n"))
+    near = _labelled_pairs(spark, sf_dir, batch).groupBy("row_idx").agg(F.max("target").alias("target"), F.count_if(F.col("dist") <= THRESHOLD).alias("n"))
     counts = evaluation.confusion(near, F.col("n") >= 5, F.col("target"))
     return counts.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall_rate", "f1")])
 
 
-@query
-def normal_curve(spark, sf_dir):
+@class_query
+def normal_curve(spark, sf_dir, batch):
     """The normal curves of both classes' distances at 100 points."""
-    stats = evaluation.distance_stats(_labelled_pairs(spark, sf_dir), "target").select("target", "mean", "deviation")
+    stats = evaluation.distance_stats(_labelled_pairs(spark, sf_dir, batch), "target").select("target", "mean", "deviation")
     return evaluation.density(stats, "mean", "deviation", 100, 64.0).select("target", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query
-def candidate_tradeoff(spark, sf_dir):
-    truth = knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir), 10, DIM)
-    rows = evaluation.tradeoff(index(spark, sf_dir), truth, asked(spark, sf_dir), [10, 50, 100])
+@search_query
+def candidate_tradeoff(spark, sf_dir, batch):
+    truth = knn.exact_knn(records(spark, sf_dir), asked(spark, sf_dir, batch), 10, DIM)
+    rows = evaluation.tradeoff(index(spark, sf_dir), truth, asked(spark, sf_dir, batch), [10, 50, 100])
     return rows.select("k", F.round("reduction", 6).alias("reduction"), F.round("recall", 6).alias("recall"))
 
 
