@@ -5,8 +5,8 @@ weights learned from labelled pages. One linear scan finds the contiguous stretc
 total: the content region. The weight of a token depends on its kind: a word in plain text or in a
 link, a tag of running text, of a list or table, of navigation, or another. Elements whose name or
 class says that they are never content (scripts, menus, adverts, comments, forms and the like)
-count as one low-scoring token each, and their text is left out; if the region's edge falls inside
-an article element, the region is grown to the whole of it.
+count as one low-scoring token each, and their text is left out; if an edge of the region falls
+inside an article element, the region is grown to the whole of it. It never shrinks.
 """
 
 from __future__ import annotations
@@ -145,10 +145,8 @@ def extract(page: str | None, weights: np.ndarray) -> str:
                 spans.append((depth.pop(), i + 1))
     spans += [(i, len(found)) for i in depth]
     outer = [(a, b) for a, b in spans if a < hi and b > lo and not any(c <= a and b <= d and (c, d) != (a, b) for c, d in spans)]
-    if outer:
-        most = max(outer, key=lambda s: sum(t[1] for t in found[max(s[0], lo) : min(s[1], hi)]))
-        inner = sum(t[1] for t in found[max(most[0], lo) : min(most[1], hi)])
-        lo, hi = most if 2 * inner >= sum(t[1] for t in found[lo:hi]) else (lo, hi)
+    for a, b in outer:
+        lo, hi = (a if a < lo < b else lo), (b if a < hi < b else hi)
     blocks, now = [], []
     for kind, _, text, name, _ in found[lo:hi]:
         if kind == SKIPPED and (name in RAW or name == "button"):  # gone without a break

@@ -145,6 +145,13 @@ def test_extraction_rules():
     assert region == (1, 2)
 
 
+def test_extraction_keeps_every_article():
+    weights, line = he.train(), "<p>" + "some words of a plain story " * 6 + "</p>"
+    page = "<nav>menu</nav><article><h1>First</h1>" + line * 6 + "</article><article><h1>Second</h1>" + line * 4 + "</article><footer>f</footer>"
+    found = he.extract(page, weights).split("\n")
+    assert len(found) == 12 and found[0] == "First" and found[7] == "Second"
+
+
 def test_extraction_edges(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (1, "u", "<p>hello there</p>")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in he.html_extract(rows).collect()) == ["", "", "hello there"]
