@@ -3,9 +3,12 @@
 A page is a sequence of tokens: words, which score positive, and tags, which score negative, with
 weights learned from labelled pages. One linear scan finds the contiguous stretch of the largest
 total: the content region. The weight of a token depends on its kind: a word in plain text or in a
-link, a tag of running text, of a list or table, of navigation, or another. Elements whose name or
-class says that they are never content (scripts, menus, adverts, comments, forms and the like)
-count as one low-scoring token each, and their text is left out; if an edge of the region falls
+link, a tag of running text, of a list or table, of navigation, or another. Elements whose name says
+that they are never content (scripts, menus, forms and the like), and containers of which a whole
+class, id or role says so (adverts, comments and the like), count as one low-scoring token each, and
+their text is left out. Where such a word is only part of a container's class, its start, end and
+words score low, but its text is kept if the region has it; a container of over half of the page's
+words isn't taken for one of these. If an edge of the region falls
 inside an article element, the region is grown to the whole of it. It never shrinks.
 """
 
@@ -26,35 +29,36 @@ from stratavec.llm.labelled_pages import PAGES
 from stratavec.session import pick, ready
 
 #: Element names of HTML by their role.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video head xmp plaintext".split())
-NEVER = frozenset("nav header footer aside form button dialog menu figcaption".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select option canvas audio video head xmp plaintext".split())
+NEVER = frozenset("nav header footer aside form button dialog menu".split())
 ARTICLE = frozenset("article main".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn del em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mmultiscripts semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CONTAINERS = frozenset("div section ul ol dl table span".split())
 LISTS = frozenset("ul ol li dl dt dd table tr td th tbody thead tfoot".split())
-NEVER_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?\w*|consent|disqus|footer|form|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|recommended|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
-)
+NEVER_WORDS = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|cookies?\w*|consent|disqus|footer|form|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo\w*|recommended|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+#: A class, id or role that is such a word is one of an element that is never content; one that has it as a part only hints at that.
+NEVER_CLASS = re.compile(rf"(?:^|\s){NEVER_WORDS}(?:$|\s)", re.I)
+HINT = re.compile(rf"(?:^|[\s_-]){NEVER_WORDS}(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
-KINDS = ("word", "link_word", "inline_tag", "text_tag", "list_tag", "other_tag", "skipped")
-WORD, LINK_WORD, INLINE_TAG, TEXT_TAG, LIST_TAG, OTHER_TAG, SKIPPED = range(len(KINDS))
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+KINDS = ("word", "link_word", "inline_tag", "text_tag", "list_tag", "other_tag", "skipped", "hinted_word")
+WORD, LINK_WORD, INLINE_TAG, TEXT_TAG, LIST_TAG, OTHER_TAG, SKIPPED, HINTED_WORD = range(len(KINDS))
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
+
+
+def _named(pattern: re.Pattern[str], name: str, attributes: str) -> bool:
+    return name in CONTAINERS and "=" in attributes and any(pattern.search(m.strip("\"'")) for m in NAMED.findall(attributes))
 
 
 def _never(name: str, attributes: str) -> bool:
-    if name in NEVER:
-        return True
-    if "=" in attributes and name not in ARTICLE and name not in ("body", "html"):
-        return any(NEVER_CLASS.search(m.strip("\"'")) for m in NAMED.findall(attributes))
-    return False
+    return name in NEVER or _named(NEVER_CLASS, name, attributes)
 
 
 def tokens(page: str) -> Iterator[tuple[int, int, str | None, str, int]]:
     """kind, number of words, text (None for tags), element name, +1 / -1 / 0 for its start, end, or neither."""
-    at, skipping, link = 0, [], 0
+    at, skipping, link, hinted = 0, [], 0, []
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -97,10 +101,36 @@ def tokens(page: str) -> Iterator[tuple[int, int, str | None, str, int]]:
             continue
         if name == "a":
             link = 0 if close else 1
+        if hinted and name == hinted[-1][0]:
+            hinted[-1][1] += -1 if close else 1
+        elif not close and _named(HINT, name, m[3]):
+            hinted.append([name, 1])
+            yield SKIPPED, 0, None, name, 1
+            continue
+        if hinted and not hinted[-1][1]:
+            hinted.pop()
+            yield SKIPPED, 0, None, name, -1
+            continue
         kind = INLINE_TAG if name in INLINE else TEXT_TAG if name in TEXT_TAGS else LIST_TAG if name in LISTS else OTHER_TAG
         yield kind, 0, None, name, 0 if name in VOID else -1 if close else 1
 
 
+def kinds_of(found: list[tuple[int, int, str | None, str, int]], wrappers: bool = True) -> list[int]:
+    """The kinds of tokens, with words in hinted containers as such; with wrappers, not in one that holds over half of the page's words."""
+    words, opened, spans = np.cumsum([0] + [t[1] for t in found]), [], []
+    for i, (kind, _, _, _, step) in enumerate(found):
+        if kind == SKIPPED and step > 0:
+            opened.append(i)
+        elif kind == SKIPPED and step < 0:
+            spans.append((opened.pop(), i))
+    depth = np.zeros(len(found) + 1, int)
+    for a, b in spans + [(i, len(found)) for i in opened]:
+        if not wrappers or 2 * (words[b] - words[a]) <= words[-1]:
+            depth[a] += 1
+            depth[b] -= 1
+    return [HINTED_WORD if t[0] == WORD and d else t[0] for t, d in zip(found, np.cumsum(depth)[:-1].tolist(), strict=True)]
+
+
 def train(pages: list[str] = PAGES) -> np.ndarray:
     """A weight for each kind: the smoothed log odds of standing inside the content, with words kept positive and tags negative."""
     inside, outside = np.ones(len(KINDS)), np.ones(len(KINDS))
@@ -108,12 +138,13 @@ def train(pages: list[str] = PAGES) -> np.ndarray:
         before, _, rest = page.partition("[[")
         content, _, after = rest.partition("]]")
         for part, counts in ((before, outside), (content, inside), (after, outside)):
-            for kind, words, text, _, _ in tokens(part):
+            found = list(tokens(part))
+            for kind, (_, words, text, _, _) in zip(kinds_of(found, False), found, strict=True):
                 counts[kind] += words if text is not None else 1
     odds = np.log(inside / inside.sum()) - np.log(outside / outside.sum())
     low, high = np.full(len(KINDS), -8.0), np.full(len(KINDS), -0.05)
     low[WORD], high[WORD] = 0.2, 3.0
-    low[LINK_WORD], high[LINK_WORD] = -3.0, 0.1
+    low[[LINK_WORD, HINTED_WORD]], high[[LINK_WORD, HINTED_WORD]] = -3.0, 0.1
     return np.clip(odds, low, high)
 
 
@@ -121,7 +152,7 @@ def region(kinds: list[int], words: list[int], weights: np.ndarray) -> tuple[int
     """The contiguous stretch of the largest positive total, the first of equals: one scan. Empty if no word scores."""
     best, total, start, found = 0.0, 0.0, 0, (0, 0)
     for i, (k, n) in enumerate(zip(kinds, words, strict=True)):
-        score = weights[k] * (n if k <= LINK_WORD else 1)
+        score = weights[k] * (n if k in (WORD, LINK_WORD, HINTED_WORD) else 1)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -133,7 +164,7 @@ def region(kinds: list[int], words: list[int], weights: np.ndarray) -> tuple[int
 def extract(page: str | None, weights: np.ndarray) -> str:
     """The main text: white space within a block as one space, blocks joined by a line feed."""
     found = list(tokens(page or ""))
-    lo, hi = region([t[0] for t in found], [t[1] for t in found], weights)
+    lo, hi = region(kinds_of(found), [t[1] for t in found], weights)
     if lo == hi:
         return ""
     depth, spans = [], []

@@ -152,6 +152,14 @@ def test_extraction_keeps_every_article():
     assert len(found) == 12 and found[0] == "First" and found[7] == "Second"
 
 
+def test_extraction_of_elements_with_class_words():
+    weights, line = he.train(), "<p>" + "some words of a plain story " * 6 + "</p>"
+    page = f"<article><div class=article-header><h1>Head</h1></div><h2 id=related-work>Related</h2><section id='social-history'>{line}</section><figure><figcaption>Caption</figcaption></figure><p>x<math><mi>a</mi></math></p><div class='ad'>Buy</div></article>"
+    assert he.extract(page, weights).split("\n") == ["Head", "Related", line[3:-5].strip(), "Caption", "xa"]
+    page = f"<nav>menu</nav><div class='has-sidebar'><div>{line * 3}</div></div><div class='cookie-notice'>We use cookies</div>"
+    assert he.extract(page, weights).split("\n") == [line[3:-5].strip()] * 3
+
+
 def test_extraction_edges(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (1, "u", "<p>hello there</p>")], "page_id long, url string, html string")
     assert sorted(r["text"] for r in he.html_extract(rows).collect()) == ["", "", "hello there"]
