@@ -5,9 +5,7 @@ names; then the names of adjacent blocks are paired, distinct pairs get names in
 until each text has one name. Names come from comparing the blocks and pairs themselves, so two
 texts of one length share a name only if they are identical.
 
-Naming moves whole texts. A text whose (byte length, 64-bit hash) no other text has is equal to no
-other, so its identity is settled without being moved; all texts that share that pair, equal or
-not, go through the naming, which alone decides.
+Every text is named, whatever its hash.
 
 Names and groups are stored before rows are joined to them, so that both sides of each join are
 plain exchanges, of which adaptive execution splits those with a hot block or group.
@@ -20,10 +18,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.session import pick, ready, small, stored
+from stratavec.session import pick, ready, stored
 
 BLOCK_BYTES = 4096
-BROADCAST_BYTES = 8 << 20
 
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,18 +58,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sorts below all others. Of rows that repeat both doc_id and text, one is kept. An empty table
     gives an empty result. Columns besides the two named are ignored.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     source = pick(docs, id_col, text_col).toDF("doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    source = source.select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h"))
-    digests = stored(source.select("doc_id", "n", "h", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256")), "digests")
-    shared = stored(digests.groupBy("n", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("n", "h"), "shared-digests")
-    few = F.broadcast(shared) if small(shared, F.lit(12), BROADCAST_BYTES) else shared
-    suspects = source.join(few, ["n", "h"], "left_semi").select(F.monotonically_increasing_id().alias("rid"), "doc_id", "n", "text")
-    suspects = stored(suspects.withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256)), "suspects")
-    names = stored(identities(suspects.select("rid", "n", "text"), block_bytes), "identities")
-    rows = stored(names.join(suspects.select("rid", "doc_id", "text_sha256"), "rid"), "named-texts")
+    texts = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.octet_length("text").alias("n"), "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+    texts = stored(texts, "texts")
+    names = stored(identities(texts.select("rid", "n", "text"), block_bytes), "identities")
+    rows = stored(names.join(texts.select("rid", "doc_id", "text_sha256"), "rid"), "named-texts")
     groups = rows.groupBy("n", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
     groups = stored(groups, "groups")
-    grouped = rows.join(groups, ["n", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")
-    single = digests.join(few, ["n", "h"], "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    return single.unionByName(grouped)
+    return rows.join(groups, ["n", "name"]).select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256")

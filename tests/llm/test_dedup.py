@@ -10,9 +10,10 @@ import numpy as np
 import pytest
 from tests.conftest import SF
 
+from stratavec.llm import exact_dedup as exact
 from stratavec.llm import ngram_join as nj
 from stratavec.llm.components import components
-from stratavec.llm.exact_dedup import exact_dedup
+from stratavec.llm.exact_dedup import exact_dedup, identities
 from stratavec.llm.ngram_join import ngram_join
 from stratavec.llm.queries import ORACLE_SQL, QUERIES
 from stratavec.llm.suffix_dedup import shortened, suffix_dedup
@@ -96,6 +97,12 @@ def test_exact_matches_sql(spark):
     assert sorted(map(tuple, found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == sorted(wanted)
 
 
+def test_exact_names_every_text(docs_of, monkeypatch):
+    named = []
+    monkeypatch.setattr(exact, "identities", lambda texts, *a: named.append(texts.count()) or identities(texts, *a))
+    assert exact.exact_dedup(docs_of([(1, "one"), (2, "two"), (3, "one"), (4, "x" * 9000)])).count() == 4 and named == [4]
+
+
 def test_exact_edges(spark, edges, none, docs_of):
     rows = exact_dedup(edges).collect()
     assert len(rows) == EXPECT
