@@ -280,14 +280,16 @@ def linked(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray
     row, column = row[wide], column[wide]
     column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
     n = len(left)
-    overlap = np.zeros((n, len(both) - n if right else n), np.float32)
+    overlap = np.zeros((n, len(both) - n if right else n), np.int32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
         i, j = np.searchsorted(column, [at, at + SLICE])
         part = np.zeros((len(both), min(SLICE, int(column[-1]) + 1 - at)), np.float32)
         part[row[i:j], column[i:j] - at] = 1
-        overlap += part[:n] @ (part[n:] if right else part).T
-    union = sizes[:n, None] + (sizes[n:] if right else sizes)[None, :] - overlap
-    a, b = np.nonzero((100 * overlap >= percent * union) & (overlap > 0))
+        np.add(overlap, part[:n] @ (part[n:] if right else part).T, out=overlap, casting="unsafe")  # a slice's counts are exact
+    least = sizes[:n, None] + (sizes[n:] if right else sizes)[None, :]
+    least *= percent
+    least = -(-least // (100 + percent))  # 100 * overlap >= percent * (sizes - overlap), in whole numbers
+    a, b = np.nonzero((overlap >= least) & (overlap > 0))
     if right:
         b = b + n
     root = np.arange(len(both))

@@ -195,3 +195,11 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 8: 8, 9: 8, 10: 10, 20: 10, 30: 10, 40: 10} | {100 + i: 100 for i in range(31)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_at_the_threshold_of_very_long_texts():
+    """Sets of an overlap of 900,009 and a union of 1,200,012: exactly 0.75."""
+    grams = np.arange(1_200_012, dtype=np.uint64)
+    assert nj.linked([(1, grams[:-300_003]), (2, np.r_[grams[:900_009], grams[-300_003:]])], None, 75) == [(2, 1)]
+    assert nj.linked([(1, grams[:-300_003])], [(2, np.r_[grams[:900_009], grams[-300_003:]])], 75) == [(2, 1)]
+    assert nj.linked([(1, grams[:-300_003]), (2, np.r_[grams[:900_008], grams[-300_003:]])], None, 75) == []
