@@ -117,17 +117,15 @@ def cut_task(path: str, capacity: int, end: int, with_ids: bool):
     return task
 
 
-def patterns(capacity: int, histogram: np.ndarray, triples: int = 8) -> list[tuple[int, ...]]:
-    """Twos and threes of present lengths that fill a sequence exactly; of threes, some for each two smallest lengths' spread."""
-    present = np.flatnonzero(histogram)
-    have = set(present.tolist())
-    out: list[tuple[int, ...]] = [(a, capacity - a) for a in present.tolist() if 2 * a <= capacity and capacity - a in have]
-    for a in present.tolist():
+def patterns(capacity: int, histogram: np.ndarray) -> list[tuple[int, ...]]:
+    """All twos and threes of present lengths that fill a sequence exactly: at most about capacity squared / 12."""
+    present = np.flatnonzero(histogram).tolist()
+    have = set(present)
+    out: list[tuple[int, ...]] = [(a, capacity - a) for a in present if 2 * a <= capacity and capacity - a in have]
+    for k, a in enumerate(present):
         if 3 * a > capacity:
             break
-        middles = [b for b in range(a, (capacity - a) // 2 + 1) if b in have and capacity - a - b in have]
-        step = max(1, len(middles) // triples)
-        out += [(a, b, capacity - a - b) for b in middles[::step]]
+        out += [(a, b, capacity - a - b) for b in present[k : bisect_right(present, (capacity - a) // 2)] if capacity - a - b in have]
     return out
 
 
@@ -189,9 +187,8 @@ def best_fit(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]
 VARIANTS = ((1.0, True), (1.0, False), (0.8, True), (0.8, False), (0.5, False))
 
 
-def _packed(lower: np.ndarray, capacity: int, share: float, threes: bool) -> list[tuple[tuple[int, ...], int]]:
-    found = [p for p in patterns(capacity, lower) if threes or len(p) == 2]
-    used = [(p, n) for p, t in zip(found, fit(lower, found), strict=True) if (n := int(share * t))]
+def _packed(lower: np.ndarray, capacity: int, share: float, fitted: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    used = [(p, n) for p, t in fitted if (n := int(share * t))]
     left = lower.tolist()
     for p, n in used:
         for x in p:
@@ -204,7 +201,12 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     full = int(histogram[capacity])
     lower = histogram.copy()
     lower[capacity] = 0
-    used = min((_packed(lower, capacity, *v) for v in VARIANTS), key=lambda u: sum(n for _, n in u))
+    found = patterns(capacity, lower)
+    fitted = {}
+    for threes in (True, False):
+        some = [p for p in found if threes or len(p) == 2]
+        fitted[threes] = list(zip(some, fit(lower, some), strict=True))
+    used = min((_packed(lower, capacity, share, fitted[threes]) for share, threes in VARIANTS), key=lambda u: sum(n for _, n in u))
     if full:
         used.append(((capacity,), full))
     rows, taken, sequence = [], [0] * (capacity + 1), 0

@@ -114,6 +114,15 @@ def test_packing_plan_is_close_to_the_bound():
         assert used <= 1.01 * bound + 2
 
 
+def test_packing_patterns_are_all_exact_twos_and_threes():
+    histogram = np.bincount(np.random.default_rng(2).integers(1, 1024, 400), minlength=1025)
+    have = np.flatnonzero(histogram).tolist()
+    wanted = {(a, 1024 - a) for a in have if a <= 512 and 1024 - a in have}
+    wanted |= {(a, b, 1024 - a - b) for a in have for b in have if a <= b <= 1024 - a - b and 1024 - a - b in have}
+    found = packing.patterns(1024, histogram)
+    assert len(found) == len(set(found)) and set(found) == wanted
+
+
 def article(html):
     body = re.search(r"<article>(.*?)(</article>|$)", html, re.S)[1]
     import html as entities
