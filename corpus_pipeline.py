@@ -20,7 +20,8 @@ from stratavec.llm.packing import best_fit_pack
 from stratavec.llm.suffix_dedup import shortened
 from stratavec.session import pick, small, stored
 
-MIN_SCORE = 0.3
+#: Of the one-versus-rest margin, which does not depend on the number of languages.
+MIN_MARGIN = 0.1
 BROADCAST_BYTES = 16 << 20
 
 
@@ -55,8 +56,8 @@ def _cut_last(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a score of MIN_SCORE or more; those without letters go."""
-    return identified(docs, MIN_SCORE)
+    """Documents whose language is told with a margin of MIN_MARGIN or more; those without letters go."""
+    return identified(docs, MIN_MARGIN)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,12 +83,26 @@ class Model:
             beta = np.linalg.solve(z.T @ (z * weight) + RIDGE * len(x) * np.eye(z.shape[1]), z.T @ (y * weight))
             self.weights = (root @ beta).astype(np.float32)
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def margins(self, texts: list[str | None]) -> tuple[np.ndarray, list[bool]]:
+        """The one-versus-rest value of each text and language, around 1 for a language's own texts however many there are, and which texts have letters."""
         x = np.zeros((len(texts), PLACES), np.float32)
         known = [presence(t, row) for row, t in zip(x, texts, strict=True)]
+        return _kernel(x, self.landmarks) @ self.weights, known
+
+    def told(self, texts: list[str | None], least: float) -> list[bool]:
+        """Whether a text has letters and a language with a margin of at least so much. A single language has no rest to be told from: letters do."""
+        if not self.langs:
+            return [False] * len(texts)
+        f, known = self.margins(texts)
+        if len(self.langs) == 1:
+            return known
+        return (np.array(known, bool) & (f.max(1) >= least)).tolist()
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.langs:
             return [(UNKNOWN, 0.0)] * len(texts)
-        f = SHARPNESS * (_kernel(x, self.landmarks) @ self.weights).astype(np.float64)
+        f, known = self.margins(texts)
+        f = SHARPNESS * f.astype(np.float64)
         p = np.exp(f - f.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -159,8 +173,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "held_out", "text").mapInArrow(predict_task(_fitted(rows)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns as they are, that language_id() gives a language with at least min_score."""
+def identified(docs: DataFrame, min_margin: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns as they are, whose one-versus-rest margin is at least min_margin for some language: near 1 for texts in it, near 0 for others."""
     ready(docs.sparkSession)
     model, at, names = _fitted(_rows(docs, id_col, text_col, lang_col)), docs.columns.index(text_col), docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -169,7 +183,6 @@ def identified(docs: DataFrame, min_score: float, id_col: str = "doc_id", text_c
         for b in batches:
             for start in range(0, b.num_rows, ROWS):
                 part = b.slice(start, ROWS)
-                found = model.value.predict(part.column(at).to_pylist())
-                yield part.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+                yield part.filter(pa.array(model.value.told(part.column(at).to_pylist(), min_margin), pa.bool_()))
 
     return plain.mapInArrow(task, plain.schema).toDF(*names)

@@ -44,6 +44,16 @@ def test_pipeline_odd_tables(spark, edges, none):
         assert corpus_pipeline.STAGES[4][1](spark, docs, SF).isEmpty() == empty
 
 
+def test_language_stage_rejects_strange_texts(spark):
+    """However few languages are learned, from two on."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) > 200")
+    strange = spark.createDataFrame([(-1, "中文文本测试这是一个句子 " * 9), (-2, "η γρήγορη καφέ αλεπού πηδάει πάνω από το σκυλί " * 5)], "doc_id long, text string")
+    for langs in (["en", "de"], ["en", "de", "fr"], ["en", "de", "fr", "es"]):
+        rows = docs.filter(docs["lang"].isin(langs))
+        kept = {r[0] for r in corpus_pipeline.language(spark, rows.unionByName(strange, allowMissingColumns=True), SF).select("doc_id").collect()}
+        assert not kept & {-1, -2} and len(kept) > 0.97 * rows.count()
+
+
 def test_run_is_registered(spark):
     import __spark_entry__ as entry
 
