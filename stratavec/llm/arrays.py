@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +24,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def eights(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The eight bytes from each place of data on, zeros beyond its end; a view that shares one copy of the bytes."""
+    return np.ndarray((len(data) + 1,), kind, np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+#: Masks that keep the first 0 to 8 bytes of a little-endian value.
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def eight_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 0x2545F4914F6CDD1D) -> np.ndarray:
+    """64-bit hashes of slices, each mixed in whole after every eight bytes; no power of a base, so no pattern of letters cancels."""
+    source, out = eights(data), mix64(size.astype(U64) + U64(seed))
+    live, at, left = np.arange(len(start)), start, size
+    while len(live):
+        value = source[at] & KEEP[np.minimum(left, 8)]
+        out[live] = mix64((out[live] ^ value) * U64(0x9E3779B97F4A7C15) + U64(0xD1B54A32D192ED03))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+@functools.cache
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # arrays from 1 MB on are mapped by themselves, and go back when they are freed
+        return libc
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def freeing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, whose worker gives the memory that it has freed back to the machine at the end: idle workers hold none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if libc:
+            libc.malloc_trim(0)
+
+    return run
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column, nulls as empty, and the len + 1 offsets into them."""
     column = column.fill_null("").cast(pa.large_string())

@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.arrays import U64, batch, keyed, mix64, pack, split_by, unpack, utf8
+from stratavec.llm.arrays import U64, batch, eight_hashes, keyed, mix64, pack, split_by, unpack, utf8
 from stratavec.llm.components import components
-from stratavec.llm.suffix_dedup import CHUNK, roller
 from stratavec.session import partitions, ready, small, stored
 
 GRAM = 5
@@ -42,7 +41,7 @@ FLUSH = 1 << 22
 BLOCK_GRAMS = 1 << 20
 LEAST_GRAMS = 1 << 10
 SLICE = 1 << 13
-LONG_WORD = 1 << 16
+LONG_WORD = 1 << 8
 GROUP_BYTES = 1 << 22
 BROADCAST_BYTES = 16 << 20
 BLOBS = {"bucket": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
@@ -63,20 +62,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge[offsets - first] = True
     start = np.flatnonzero(word & (edge[:-1] | np.r_[True, ~word[:-1]]))
     end = np.flatnonzero(word & (edge[1:] | np.r_[~word[1:], True])) + 1
-    out = np.empty(len(start), U64)
-    roll, i = roller(), 0
-    while i < len(start):
-        if end[i] - start[i] > LONG_WORD:
-            out[i] = int.from_bytes(hashlib.blake2b(part[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-            i += 1
-            continue
-        j = int(np.searchsorted(end, start[i] + CHUNK, "right"))
-        at = int(start[i])
-        prefix = roll.prefix(part[at : end[j - 1]], 0)
-        out[i:j] = mix64(roll.slices(prefix, start[i:j] - at, end[i:j] - at, 0) + (end[i:j] - start[i:j]).astype(U64) * FACTORS[0])
-        for k in np.flatnonzero(end[i:j] - start[i:j] > LONG_WORD) + i:
-            out[k] = int.from_bytes(hashlib.blake2b(part[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
-        i = j
+    out = eight_hashes(part, start, end - start)
+    for k in np.flatnonzero(end - start > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(part[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     counts = np.diff(np.searchsorted(start, offsets - first))
     return out, counts
 
@@ -166,8 +154,8 @@ def share_task(buckets: int):
                     held.setdefault(bucket, []).append((np.cumsum(key), value))
                 else:
                     yield batch(BLOBS, [bucket], [kind], [blob])
-        for bucket, parts in held.items():
-            key, value = map(np.concatenate, zip(*parts, strict=True))
+        for bucket in list(held):
+            key, value = map(np.concatenate, zip(*held.pop(bucket), strict=True))
             order = np.argsort(value, kind="stable")
             key, value = key[order], value[order]
             cuts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
@@ -199,7 +187,7 @@ def stay_task(buckets: int, percent: int):
             yield batch(STAYED, *some, pa.nulls(len(some[0]), pa.int32()), pa.nulls(len(some[0]), pa.binary()))
         if not held[SHARED]:
             return
-        key, count, value, bucket = map(np.concatenate, zip(*held[SHARED], strict=True))
+        key, count, value, bucket = map(np.concatenate, zip(*held.pop(SHARED), strict=True))
         order = np.lexsort((bucket, value, count, key))
         key, value, bucket = key[order], value[order], bucket[order]
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -225,8 +213,8 @@ def candidate_task(buckets: int):
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 held.setdefault(bucket, []).append(unpack(blob, np.int64, np.uint32))
-        for parts in held.values():
-            key, value = map(np.concatenate, zip(*parts, strict=True))
+        for bucket in list(held):
+            key, value = map(np.concatenate, zip(*held.pop(bucket), strict=True))
             order = np.lexsort((key, value))
             key, value = key[order], value[order]
             cuts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])

@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.conftest import SF
 
 from stratavec.llm import exact_dedup as exact
 from stratavec.llm import ngram_join as nj
+from stratavec.llm.arrays import utf8
 from stratavec.llm.components import components
 from stratavec.llm.exact_dedup import exact_dedup, identities
 from stratavec.llm.ngram_join import ngram_join
@@ -203,3 +205,25 @@ def test_links_at_the_threshold_of_very_long_texts():
     assert nj.linked([(1, grams[:-300_003]), (2, np.r_[grams[:900_009], grams[-300_003:]])], None, 75) == [(2, 1)]
     assert nj.linked([(1, grams[:-300_003])], [(2, np.r_[grams[:900_009], grams[-300_003:]])], 75) == [(2, 1)]
     assert nj.linked([(1, grams[:-300_003]), (2, np.r_[grams[:900_008], grams[-300_003:]])], None, 75) == []
+
+
+def test_words_that_cancel_in_powers_of_a_base(docs_of):
+    """The Thue-Morse word and its complement have equal polynomial hashes modulo 2^64, whatever the odd base."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word[:64], word[64:128], word[:200], word[:200] + "\0"]
+    for some in (texts, [t * 40 for t in texts]):
+        column = pa.array(some)
+        hashes, counts = nj.word_hashes(*utf8(column))
+        assert counts.tolist() == [1] * 6 and len(set(hashes.tolist())) == 6
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join(docs_of(enumerate(texts[:2]))).collect()}
+    assert found == {0: 0, 1: 1}
+
+
+def test_links_of_contained_sets_at_the_threshold():
+    """Sets of 4k and 3k, the smaller within the larger: exactly 0.75, beyond what float32 can tell."""
+    grams = np.arange(4 * 223_707, dtype=np.uint64)
+    for k in (223_697, 223_699, 223_703, 223_707):
+        assert nj.linked([(1, grams[: 4 * k]), (2, grams[: 3 * k])], None, 75) == [(2, 1)]
+        assert nj.linked([(1, grams[: 4 * k]), (2, grams[: 3 * k - 1])], None, 75) == []
