@@ -9,11 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from stratavec.session import pick, stored
-
 U64 = np.uint64
 
 
@@ -74,7 +69,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def sliced(b: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of b in parts whose texts have at most limit bytes, or one row."""
+    _, offsets = utf8(b.column(column))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        yield b.slice(i, min(j, b.num_rows) - i)
+        i = j
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -103,24 +109,3 @@ def split_by(bucket: np.ndarray, *columns: np.ndarray) -> list[tuple[int, list[n
 
 def batch(schema: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], names=list(schema))
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """key (long, unique), doc_id, text, copies, and whether keys are the doc_ids themselves. Rows in the order of doc_id have ascending keys.
-
-    Where doc_ids are unique and not null, they are the keys and copies is 1. Otherwise rows that
-    agree in doc_id and text are one row with their count in copies, and keys number the rows by
-    doc_id (null first), then text; that table is stored.
-    """
-    rows = pick(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    odd = rows.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 OR doc_id IS NULL")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text", F.lit(1).alias("copies")), True
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    rows = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return stored(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "copies"), "keyed"), False
-
-
-def repeated(rows: DataFrame) -> DataFrame:
-    """Each row as often as its copies says, without that column."""
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies")

@@ -31,16 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.llm.arrays import U64, batch, eight_hashes, keyed, mix64, pack, split_by, unpack, utf8
+from stratavec.llm.arrays import U64, batch, eight_hashes, freeing, mix64, pack, split_by, unpack, utf8
 from stratavec.llm.components import components
+from stratavec.llm.rows import keyed
 from stratavec.session import partitions, ready, small, stored
 
 GRAM = 5
 PERCENT = 75
-FLUSH = 1 << 22
+FLUSH = 1 << 19
 BLOCK_GRAMS = 1 << 20
 LEAST_GRAMS = 1 << 10
-SLICE = 1 << 13
+SLICE = 1 << 12
 LONG_WORD = 1 << 8
 GROUP_BYTES = 1 << 22
 BROADCAST_BYTES = 16 << 20
@@ -326,17 +327,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ready(docs.sparkSession)
     texts, plain = keyed(docs, id_col, text_col)
     buckets = partitions(texts)
-    dealt = texts.select("key", "text").mapInArrow(deal_task(buckets, gram, percent), BLOBS_DDL)
-    shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(share_task(buckets), BLOBS_DDL)
-    stayed = stored(shared.repartitionById(buckets, F.col("bucket")).mapInArrow(stay_task(buckets, percent), STAYED_DDL), "stayed")
+    dealt = texts.select("key", "text").mapInArrow(freeing(deal_task(buckets, gram, percent)), BLOBS_DDL)
+    shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(freeing(share_task(buckets)), BLOBS_DDL)
+    stayed = stored(shared.repartitionById(buckets, F.col("bucket")).mapInArrow(freeing(stay_task(buckets, percent)), STAYED_DDL), "stayed")
     meta = stayed.filter("key IS NOT NULL").select("key", "n", "s1", "s2", "first")
     # copies go by their task's first of them: a hot class is one row from each task
     firsts = stored(meta.filter("n > 0").groupBy("s1", "s2", "first").agg(F.min("key").alias("low")), "firsts")
     classes = firsts.join(firsts.groupBy("s1", "s2").agg(F.min("low").alias("rep")), ["s1", "s2"]).select("first", "rep")
     members = meta.withColumn("first", F.when(F.col("n") > 0, F.col("first"))).join(classes, "first", "left")
     members = stored(members.select("key", "n", F.coalesce("rep", "key").alias("rep")), "classes")
-    pairs = stayed.filter("key IS NULL").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(candidate_task(buckets), BLOBS_DDL)
-    pairs = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(pair_task, "a long, b long")
+    pairs = stayed.filter("key IS NULL").select("bucket", "blob").repartitionById(buckets, F.col("bucket")).mapInArrow(freeing(candidate_task(buckets)), BLOBS_DDL)
+    pairs = pairs.repartitionById(buckets, F.col("bucket")).mapInArrow(freeing(pair_task), "a long, b long")
     reps = members.select(F.col("key").alias("a"), F.col("rep").alias("ra"))
     pairs = pairs.join(reps, "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     blocks = stored(components(pairs).join(members.select(F.col("key").alias("node"), "n"), "node"), "candidate-blocks")
@@ -346,11 +347,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = stored(places, "places")
     if small(places, F.lit(32), BROADCAST_BYTES):
         places = F.broadcast(places)
-    sets = texts.select("key", "text").join(places, "key").select("block", "part", "parts", "key", "text").mapInArrow(sets_task(gram), "block long, part int, parts int, key long, grams binary")
+    sets = texts.select("key", "text").join(places, "key").select("block", "part", "parts", "key", "text").mapInArrow(freeing(sets_task(gram)), "block long, part int, parts int, key long, grams binary")
     sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sets = sets.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "grams")
     sets = sets.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    found = components(sets.mapInArrow(product_task(percent), "a long, b long"))
+    found = components(sets.mapInArrow(freeing(product_task(percent)), "a long, b long"))
     out = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
     if plain:
         return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

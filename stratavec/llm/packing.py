@@ -23,8 +23,9 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavec.llm.arrays import batch, keyed
+from stratavec.llm.arrays import batch
 from stratavec.llm.bpe import byte_characters, groups_of
+from stratavec.llm.rows import keyed
 from stratavec.session import partitions, ready, stored
 
 CAPACITY = 1024
