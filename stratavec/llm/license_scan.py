@@ -3,9 +3,11 @@
 All rolling word 2-grams of every text are hashed and joined to the positions of the same 2-grams
 in the templates. A hit at word p of the text and word q of a template votes for the diagonal
 p - q; a passage that follows the template without gaps gathers its votes on one diagonal, and
-inserted or missing words only shift the diagonal a little. Votes are summed by diagonal,
-neighbouring diagonals are merged, and a span counts if the template words that it accounts for
-are a large enough share. A short phrase must be there whole: all its 2-grams on one diagonal.
+inserted or missing words only shift the diagonal a little. Votes are summed by diagonal, and each
+diagonal is merged with its neighbours up to DRIFT further on, so a span is never longer than its
+template and DRIFT. Where a span has enough of the template's 2-grams, it is verified: the hits that
+rise in the text and in the template at once, in the longest such chain, must be a large enough
+share of the template. A short phrase must be there whole: all its 2-grams on one diagonal.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ PASSAGES = {
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl",
+    "the person who associated a work with this deed has dedicated the work to the public domain": "cc0",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
     "mozilla public license": "mpl",
@@ -42,7 +50,7 @@ PASSAGES = {
     "all rights reserved": "reserved",
 }
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-NEAR = 3
+DRIFT = 6
 SHARE = 0.6
 WHOLE_WORDS = 5  # templates of fewer words must be there whole
 
@@ -58,10 +66,20 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, label, base, len(w), q, w[q], w[q + 1]) for i, w, label, base in rows for q in range(len(w) - 1)], "template int, label string, base boolean, size int, q int, w1 string, w2 string")
 
 
+def _chain(near: Column) -> Column:
+    """The most hits of diagonals (diagonal, found) that ascend both in the text and in the template: at most DRIFT + 1 times the template's 2-grams are looked at."""
+    hits = F.array_sort(F.flatten(F.transform(near, lambda n: F.transform(n["found"], lambda q: F.struct((n["diagonal"] + q).alias("p"), q.alias("q"))))))
+    best = lambda a: F.coalesce(F.array_max(F.transform(a, lambda y: y["n"])), F.lit(0))
+    before = lambda a, x: F.filter(a, lambda y: (y["p"] < x["p"]) & (y["q"] < x["q"]))
+    step = lambda a, x: F.array_append(a, F.struct(x["p"].alias("p"), x["q"].alias("q"), (best(before(a, x)) + 1).alias("n")))
+    return F.aggregate(hits, F.array().cast("array<struct<p:int,q:int,n:int>>"), step, best)
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    score is 1 if a base phrase is there, else the largest covered share of a template, or 0. Null
+    score is the largest share of a template that an accepted span has in order (1 for a phrase that
+    is there whole), or 0 if none is accepted. Null
     and empty texts have no words, n_base 0, null first_word and last_word, empty labels and score
     0. Rows are kept apart by a number of their own, so null and repeated doc_ids each give their
     row. An empty table gives an empty result; other columns are ignored. Votes are gathered per
@@ -76,21 +94,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "license-hits")
     hits = rows.select("rid", F.inline("hits")).join(F.broadcast(grams), ["h", "w1", "w2"])
     votes = hits.groupBy("rid", "template", "label", "base", "size", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("found"))
-    order = Window.partitionBy("rid", "template").orderBy("diagonal")
-    votes = votes.withColumn("far", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True)))
-    votes = votes.withColumn("span", F.sum(F.col("far").cast("int")).over(order))
-    whole = F.size("found") == F.col("size") - 1
-    places = F.when(F.col("base") & whole, F.col("diagonal"))
-    spans = votes.groupBy("rid", "template", "label", "base", "size", "span").agg(
-        F.count(places).alias("n"), F.min(places).alias("first"), F.max(places).alias("last"), F.max(whole).alias("whole"), F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found")
-    )
-    share = F.col("found") / (F.col("size") - 1)
-    named = F.when(F.col("size") < WHOLE_WORDS, F.col("whole")).otherwise(share >= SHARE)
+    band = Window.partitionBy("rid", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    spans = votes.withColumn("near", F.collect_list(F.struct("diagonal", "found")).over(band))
+    grams_of = F.col("size") - 1
+    short = F.col("size") < WHOLE_WORDS
+    whole = F.size("found") == grams_of
+    enough = F.size(F.array_distinct(F.flatten(F.col("near.found")))) >= SHARE * grams_of
+    chained = F.when(enough & ~short, _chain(F.col("near")) / grams_of)
+    spans = spans.select("rid", "label", "base", "diagonal", whole.alias("whole"), F.when(short & whole, F.lit(1.0)).otherwise(chained).alias("share"))
+    place, named = F.when(F.col("base") & F.col("whole"), F.col("diagonal")), F.col("share") >= SHARE
     found = spans.groupBy("rid").agg(
-        F.sum("n").alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.col("label")))).alias("base_set"), F.sort_array(F.collect_set(F.when(named, F.col("label")))).alias("label_set"),
-        F.max(F.when(F.col("n") > 0, F.lit(1.0)).otherwise(share)).alias("score"),
-    )
+        F.count(place).alias("n_base"), F.min(place).cast("long").alias("first_word"), F.max(place).cast("long").alias("last_word"),
+        F.sort_array(F.collect_set(F.when(place.isNotNull(), F.col("label")))).alias("base_set"), F.sort_array(F.collect_set(F.when(named, F.col("label")))).alias("label_set"),
+        F.max(F.when(named, F.col("share"))).alias("score"),
+    )
     out = rows.select("rid", "doc_id", "n_words").join(found, "rid", "left")
     joined = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return out.select(
