@@ -120,17 +120,19 @@ def bits_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame) -> Model:
-    """rows: doc_id, text, lang. At most about ROWS_EACH texts of each of LANGUAGES languages, those with the smallest hash of doc_id, so that no order matters.
+    """rows: doc_id, text, lang. At most ROWS_EACH different texts of each of LANGUAGES languages, those with the smallest hash of doc_id and text, so that no order matters.
 
-    The counts tell below which hash a few times as many lie, so that few ids are ranked however
-    many rows there are; only the chosen rows' texts are looked at.
+    How many different ones there are, about, tells below which hash a few times as many lie, so that
+    few rows are ranked however many there are; rows that repeat doc_id, text and language are one, before they are ranked and
+    again before they are collected.
     """
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    near = rows.select("lang", "doc_id").join(F.broadcast(counts), "lang").filter(hashed < F.lit(float(SPREAD * ROWS_EACH << 31)) / F.col("count"))
-    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
-    ids = near.select("lang", "doc_id").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS_EACH)
-    chosen = rows.join(F.broadcast(stored(ids, "language-sample")), ["lang", "doc_id"]).select("lang", "rank", "text")
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    near = F.pmod("h", F.lit(1 << 31)) < F.lit(float(SPREAD * ROWS_EACH << 31)) / F.col("different")
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h", "doc_id")
+    ids = rows.select("lang", "doc_id", "h").join(F.broadcast(counts), "lang").filter(near).select("lang", "doc_id", "h").distinct()
+    ids = stored(ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ROWS_EACH), "language-sample")
+    chosen = rows.join(F.broadcast(ids), ["lang", "doc_id", "h"]).select("lang", "rank", "text").dropDuplicates(["lang", "rank"])
     found = sorted((r["lang"], r["rank"], r["bits"]) for r in chosen.mapInArrow(bits_task, "lang string, rank int, bits binary").collect())
     x = np.array([np.unpackbits(np.frombuffer(bits, np.uint8)) for *_, bits in found], np.float32).reshape(-1, PLACES)
     return Model(x, [lang for lang, *_ in found], np.array([i for i, (_, rank, _) in enumerate(found) if rank <= LANDMARKS_EACH], int))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stratavec.llm.arrays import batch
 from stratavec.llm.boosting import Boosted, Isotonic
-from stratavec.session import pick, ready, stored
+from stratavec.session import pick, ready, small, stored
 
 SAMPLE = 12_000
 LEXICON = 2_000
@@ -28,6 +28,7 @@ LEAST_TOXIC = 4
 LEAST_RATIO = 2.0
 NEAR_WORDS = 3
 CACHE_ENTRIES = 250_000
+BROADCAST_BYTES = 8 << 20
 #: Insults, and words of the second person.
 INSULTS = "idiot idiots stupid moron morons loser losers trash pathetic disgusting worthless clown clowns scum dumb fool fools ugly garbage filth filthy vermin disgrace hate shut imbecile creep jerk lame freak freaks liar liars"
 SECOND_PERSON = "you your yours yourself yourselves du dich dir dein deine deinen deiner ihr euch euer tu te toi ton ta tes vous votre vos usted ustedes ti tuyo tuya vosotros"
@@ -160,8 +161,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     labels: doc_id, toxic; of several labels of a document the largest counts, and nulls don't.
-    Learns from labelled documents whose crc32(doc_id) mod 5 is not 0: at most SAMPLE of them, those
-    with the smallest hash of doc_id. Null and empty texts are scored as texts without words. A null
+    Learns from labelled documents whose crc32(doc_id) mod 5 is not 0: at most SAMPLE of those that
+    docs has, with the smallest hash of doc_id and text; rows that repeat both are one of them. Null and empty texts are scored as texts without words. A null
     doc_id is not held out and never labelled. Without labels of both kinds the score is the same
     for all. Repeated rows each give their row; an empty table gives an empty result. Other columns
     are ignored.
@@ -170,7 +171,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = pick(docs, id_col, text_col).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = pick(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    labelled = stored(rows.join(F.broadcast(stored(known, "labelled")), "doc_id"), "labelled-texts")
+    known = stored(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "labelled")
+    known = F.broadcast(known) if small(known, F.lit(16), BROADCAST_BYTES) else known
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    chosen = hashed.select("doc_id", "h").join(known, "doc_id").distinct().orderBy("h", "doc_id").limit(SAMPLE)
+    chosen = F.broadcast(stored(chosen, "labelled-sample"))
+    labelled = hashed.join(chosen, ["doc_id", "h"]).select("doc_id", "h", "text", "toxic").dropDuplicates(["doc_id", "h"])
+    labelled = stored(labelled.select("doc_id", "text", "toxic"), "labelled-texts")
     model = spark.sparkContext.broadcast(fit(labelled))
     return rows.select("doc_id", held(F.col("doc_id")).alias("held_out"), "text").mapInArrow(score_task(model), "doc_id long, held_out boolean, score double, predicted int")
