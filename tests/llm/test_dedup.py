@@ -9,11 +9,13 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import SF
 
 from stratavec.llm import exact_dedup as exact
 from stratavec.llm import ngram_join as nj
-from stratavec.llm.arrays import utf8
+from stratavec.llm import suffix_dedup as sd
+from stratavec.llm.arrays import unpack, utf8
 from stratavec.llm.components import components
 from stratavec.llm.exact_dedup import exact_dedup, identities
 from stratavec.llm.ngram_join import ngram_join
@@ -127,6 +129,15 @@ def test_exact_many_levels(docs_of):
     assert found == {1: 2, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
 
 
+@pytest.mark.parametrize("digest", [lambda *c: F.lit(7).cast("long"), lambda *c: F.pmod(F.xxhash64(*c), F.lit(3))], ids=["one", "three"])
+def test_exact_whatever_the_hash(docs_of, digest):
+    """With hashes that are all equal, or of three values only, contents alone tell texts apart."""
+    base = "abcdefgh" * 3
+    rows = [(1, base), (2, base), (3, base[:-1] + "X"), (4, "X" + base[1:]), (5, base[:-1]), (6, base + base), (7, base[::-1]), (8, None), (9, ""), (10, "ab"), (11, "ac"), (12, "ab")]
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup(docs_of(rows), block_bytes=4, digest=digest).collect()}
+    assert found == {1: (2, 2), 2: (2, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1), 6: (6, 1), 7: (7, 1), 8: (9, 2), 9: (9, 2), 10: (12, 2), 11: (11, 1), 12: (12, 2)}
+
+
 def test_passages_match_brute_force(spark):
     rows = [tuple(r) for r in table(spark).select("doc_id", "text").collect()]
     wanted = brute_passages(rows)
@@ -143,6 +154,63 @@ def test_passages_planted(spark, docs_of, seed, monkeypatch):
     assert found == brute_passages(rows)
 
 
+def in_process(rows, buckets, hot=()):
+    """The tasks of repeats() one after another, without Spark: removed intervals by key."""
+    rows = sorted(rows)
+    table = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["key", "text"])
+    marks = list(sd.gather(sd.sort_runs(buckets)(sd.send_runs(buckets, 100, 40)([table]))))
+    runs = {k: r for b in marks for k, r in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if r}
+    some = [(i, t) for i, t in rows if i in runs]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t]), pa.array([runs[i]])], names=["key", "text", "runs"]) for i, t in some]
+    more = list(sd.gather(sd.sort_windows(buckets, 100)(sd.send_windows(buckets, 100, 40, np.array(hot, np.uint64))(batches)))) if batches else []
+    out = defaultdict(list)
+    for b in marks + more:
+        for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if r:
+                out[k] += zip(*unpack(r, np.int64, np.int64), strict=True)
+    return out
+
+
+@pytest.mark.parametrize("stub", [None, "one", "four"])
+def test_passages_whatever_the_hash(stub, monkeypatch):
+    """Bytes decide: with equal hashes for all, or for a quarter, the result is that of brute force."""
+    if stub:
+        monkeypatch.setattr(sd, "eight_hashes", lambda data, start, size: (data[start].astype(np.uint64) % np.uint64(4) if stub == "four" else np.zeros(len(start), np.uint64)))
+    rows = planted(3, 40) + [(1001, "ab" * 300), (1003, "z" * 900), (1002, "z" * 150)]
+    wanted, found = brute_passages(rows), in_process(rows, 3)
+    for i, t in rows:
+        gone = bytearray(len(t.encode()))
+        for a, b in found[i]:
+            gone[a:b] = b"\1" * (b - a)
+        assert sum(gone) == wanted[i][1], i
+    assert sum(w[1] for w in wanted.values()) > 0
+
+
+def test_passages_of_hot_anchors(docs_of, monkeypatch):
+    """A short passage before and behind which every text differs: its anchors are hot, and their windows go one by one."""
+    monkeypatch.setattr(sd, "HOT_RUNS", 3)
+    monkeypatch.setattr(sd, "HOT_SHARE", 10**9)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = letters(130)
+    rows = [(i, letters(rng.randint(0, 200)) + passage[: rng.choice([60, 110, 130])] + letters(rng.randint(0, 90))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:5]]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(docs_of(rows)).collect()}
+    assert found == brute_passages(rows)
+
+
+def test_radix_groups_are_in_byte_order():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 600).astype(np.uint8)
+    for size in (3, 8, 13, 16):
+        start = np.arange(len(data) - size)
+        found = sd.radix_groups(data, start, size)
+        slices = [bytes(data[i : i + size]) for i in start]
+        many = {s for s, n in Counter(slices).items() if n > 1}
+        assert [slices[i] for i in found[0]] == sorted(s for s in slices if s in many)
+        assert found[1].tolist() == [sorted(many).index(slices[i]) for i in found[0]]
+
+
 def test_passages_edges(edges, none, docs_of):
     rows = suffix_dedup(edges).collect()
     assert len(rows) == EXPECT

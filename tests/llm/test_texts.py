@@ -12,8 +12,10 @@ from tests.conftest import SF
 from tokenizers import Tokenizer
 
 from stratavec.llm import html_extract as he
+from stratavec.llm import language_id as li
 from stratavec.llm import license_scan as ls
 from stratavec.llm import packing
+from stratavec.llm import toxicity as tox
 from stratavec.llm.boosting import Boosted, Isotonic
 from stratavec.llm.bpe import WordBpe, bpe_round
 from stratavec.llm.language_id import language_id
@@ -192,6 +194,27 @@ def test_language_edges(edges, none):
     assert language_id(none).count() == 0
 
 
+def test_language_sample_of_repeated_ids(spark):
+    """A hundred thousand rows of one doc_id and text are one row to learn from; as many texts of one doc_id are sampled."""
+    many = spark.range(100_000).selectExpr("7L doc_id", "'one and the same plain text' text", "'en' lang")
+    other = spark.range(20_000).selectExpr("8L doc_id", "concat('ein anderer text ', id) text", "'de' lang")
+    model = li.fit(many.unionByName(other))
+    assert model.langs == ["de", "en"] and len(model.landmarks) == li.LANDMARKS_EACH + 1
+    assert [x for x, _ in model.predict(["the same plain text", "noch ein anderer text"])] == ["en", "de"]
+
+
+def test_toxicity_sample_of_repeated_ids_and_foreign_labels(spark, monkeypatch):
+    """Labels of a much larger corpus don't crowd out those of the documents at hand, and repeated rows are one."""
+    docs = spark.range(3000).selectExpr("id doc_id", "IF(id % 3 = 0, concat('you stupid idiot number ', id), concat('a calm note number ', id)) text")
+    many = spark.range(100_000).selectExpr("1L doc_id", "'a calm note number 1' text")
+    labels = spark.range(500_000).selectExpr("id doc_id", "IF(id % 3 = 0, 1, 0) toxic")
+    seen = []
+    monkeypatch.setattr(tox, "fit", lambda labelled, fit=tox.fit: seen.append(labelled.count()) or fit(labelled))
+    rows = tox.toxicity(docs.unionByName(many), labels).collect()
+    assert len(rows) == 103_000 and seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(3000))]
+    assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows]) > 0.99
+
+
 def test_toxicity(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()}
@@ -227,6 +250,53 @@ def brute_license(text):
     return len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
 
 
+def brute_spans(text):
+    """Labels and score by looking at every template and place: at most DRIFT diagonals together, hits that rise in both, and whole short phrases."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    labels, score = set(), 0.0
+    for t, label in [*ls.PHRASES.items(), *ls.PASSAGES.items()]:
+        t = t.split()
+        grams = defaultdict(list)
+        for q in range(len(t) - 1):
+            grams[t[q], t[q + 1]].append(q)
+        hits = [(p, q) for p in range(len(w) - 1) for q in grams.get((w[p], w[p + 1]), ())]
+        for d in {p - q for p, q in hits}:
+            chain = {}
+            for p, q in sorted((p, q) for p, q in hits if d <= p - q <= (d if len(t) < ls.WHOLE_WORDS else d + ls.DRIFT)):
+                chain[p, q] = 1 + max((n for (a, b), n in chain.items() if a < p and b < q), default=0)
+            share = max(chain.values()) / (len(t) - 1)
+            if share >= (1 if len(t) < ls.WHOLE_WORDS else ls.SHARE):
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_licenses_verified_spans(docs_of):
+    """Templates in reverse order of their 2-grams, scattered, or far apart give nothing; inserted, missing and repeated words do."""
+    rng, every = random.Random(5), [*ls.PHRASES, *ls.PASSAGES]
+    rows = []
+    for t in every:
+        w = t.split()
+        rows.append(" ".join(x for q in reversed(range(len(w) - 1)) for x in w[q : q + 2]))
+        rows.append(" filler words between them ".join(" ".join(w[q : q + 2]) for q in range(len(w) - 1)))
+        rows.append("before " + t.upper() + " after")
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(1, 3)):
+                v[rng.randrange(len(v))] = rng.choice(["", "very", "the of", v[0]])
+            rows.append("x y " + " ".join(v) + " " + t)
+            rows.append(" ".join(v) + " of the this software to use")
+    rows.append(" ".join(rng.choice("of the this software is to use copy license under terms and or modify it".split()) for _ in range(4000)))
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in ls.license_scan(docs_of(enumerate(rows))).collect()}
+    for i, t in enumerate(rows):
+        labels, score = brute_spans(t)
+        assert found[i][0] == labels and abs(found[i][1] - score) < 1e-12, t
+    short = {t: label for t, label in [*ls.PHRASES.items(), *ls.PASSAGES.items()] if len(t.split()) < ls.WHOLE_WORDS}
+    for i in range(0, 9 * len(every), 9):  # in reverse order only phrases of two words are left whole
+        assert set(filter(None, found[i][0].split(","))) == {label for t, label in short.items() if f" {t} " in f" {rows[i]} "}, rows[i]
+    assert all(found[i + 2][1] == 1 for i in range(0, 9 * len(every), 9))
+
+
 def test_licenses(spark, docs_of, edges, none):
     extra = [(10**6, "The MIT-License, cc.by and CC BY; GNU general PUBLIC license gnu general public"), (10**6 + 1, "Permission is hereby granted, free of charge, to any good person obtaining a copy of this software and associated documentation files"), (10**6 + 2, "cc by cc by"), (10**6 + 3, None)]
     frame = docs_of([*texts(spark).items(), *extra])
