@@ -31,7 +31,11 @@ def jacobi(matrix: np.ndarray, rotations: int = ROTATIONS) -> np.ndarray:
 def cumulative(weights: np.ndarray, method: str = "rotations") -> np.ndarray:
     """weights: D by r. Energy held by the largest 1, 2, ... D squared singular values, as shares of the total."""
     square = np.asarray(weights, np.float64)
-    square = square @ square.T
+    return shares(square @ square.T, method)
+
+
+def shares(square: np.ndarray, method: str = "rotations") -> np.ndarray:
+    """The same from the D by D product of weights and their transpose, which Spark can sum up."""
     values = np.linalg.eigvalsh(square) if method == "exact" else jacobi(square)
     values = np.sort(np.maximum(values, 0))[::-1]
     total = values.sum()

@@ -24,10 +24,10 @@ def rademacher(n: int, seed: int = 42) -> np.ndarray:
 
 
 def default_tiers(dim: int) -> list[int]:
-    """A tier layout for a dimension: one tier up to 64, else the powers of two and a half below it."""
+    """A tier layout for a dimension: one tier up to 64, else the powers of two below it (512 only beyond 384 dimensions)."""
     if dim <= WORD:
         return [dim]
-    return [t for t in (64, 128, 256, 384, 512) if t < dim][:4] + [dim]
+    return [t for t in (64, 128, 256, 512) if t < dim and (t < 512 or dim > 384)] + [dim]
 
 
 @dataclass(frozen=True)

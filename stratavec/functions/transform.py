@@ -64,6 +64,11 @@ def pack_words(bits: np.ndarray, spec: IndexSpec) -> list[np.ndarray]:
     return out
 
 
+def msb_bytes(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as bytes with the first bit highest, as analysis tools pack them; a last byte is filled with zeros."""
+    return np.packbits(np.asarray(bits, bool), axis=1)
+
+
 def unpack_words(words: list[np.ndarray], spec: IndexSpec) -> np.ndarray:
     out = np.zeros((len(words[0]), spec.dim), bool)
     for w, (_, a, b) in zip(words, spec.words, strict=False):

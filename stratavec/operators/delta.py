@@ -35,7 +35,7 @@ def delta_knn(log: DataFrame, queries: DataFrame | np.ndarray, k: int, dim: int)
     """The k nearest live entries of each query, ties by seq: qid, rank, id, score, dist. Ids may repeat."""
     entries = live(log)
     found = exact_knn(entries, queries, k, dim, "seq").withColumnRenamed("id", "seq")
-    return found.join(entries.select("seq", "id"), "seq").select("qid", "rank", "id", score(F.col("dist")).alias("score"), "dist")
+    return found.join(log.filter(F.col("op") == INSERT).select("seq", "id"), "seq").select("qid", "rank", "id", score(F.col("dist")).alias("score"), "dist")
 
 
 def search_merged(index: Index, log: DataFrame, queries: DataFrame | np.ndarray, k: int) -> DataFrame:
@@ -58,6 +58,7 @@ class Delta:
     def __init__(self, spark: SparkSession, path: str, dim: int, flush_threshold: int) -> None:
         self.spark, self.path, self.dim, self.flush_threshold = spark, path.rstrip("/"), dim, flush_threshold
         self._append(spark.createDataFrame([], LOG_DDL))
+        self._last: int | None = None
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG_DDL).parquet(self.path)
@@ -65,24 +66,32 @@ class Delta:
     def _append(self, rows: DataFrame) -> None:
         rows.select("seq", F.col("op").cast("tinyint").alias("op"), "id", "vector").write.mode("append").parquet(self.path)
 
-    def _next(self) -> int:
-        return (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+    def _next(self, n: int) -> int:
+        """The first of the next n sequence numbers. The log is looked at once, when it is opened; there is one writer."""
+        if self._last is None:
+            self._last = self.log().agg(F.max("seq")).first()[0] or 0
+        self._last += n
+        return self._last - n + 1
 
     def insert(self, records: DataFrame) -> None:
         """records: id, vector, in the order of id. All vectors must have the index's length."""
         rows = records.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<float>").alias("vector"))
         if not rows.filter(F.col("vector").isNull() | (F.size("vector") != self.dim)).isEmpty():
             raise ValueError(f"every vector must have {self.dim} values")
-        self._append(numbered(rows, "id").select((F.col("row_idx") + self._next()).alias("seq"), F.lit(INSERT).alias("op"), "id", "vector"))
+        rows = numbered(rows, "id")
+        self._append(rows.select((F.col("row_idx") + self._next(rows.count())).alias("seq"), F.lit(INSERT).alias("op"), "id", "vector"))
+
+    def delete_rows(self, ids: DataFrame) -> DataFrame:
+        """Hides all live entries of the ids in a frame, of any size; which of them had any: id."""
+        found = live(self.log()).select("id").join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_semi").distinct()
+        found = numbered(found, "id")
+        self._append(found.select((F.col("row_idx") + self._next(found.count())).alias("seq"), F.lit(DELETE).alias("op"), "id", F.lit(None).cast("array<float>").alias("vector")))
+        return found.select("id")
 
     def delete(self, ids: list[int]) -> list[int]:
-        """Hides all live entries of these ids; which of them had any."""
+        """The same for a list of ids."""
         asked = self.spark.createDataFrame([(int(i),) for i in ids], "id long")
-        found = sorted(r[0] for r in live(self.log()).join(F.broadcast(asked), "id", "left_semi").select("id").distinct().collect())
-        first = self._next()
-        if found:
-            self._append(self.spark.createDataFrame([(first + i, DELETE, x, None) for i, x in enumerate(found)], LOG_DDL))
-        return found
+        return sorted(r[0] for r in self.delete_rows(asked).collect())
 
     def size(self) -> int:
         return live(self.log()).count()
@@ -101,6 +110,7 @@ class Delta:
         """A buffer in target with the entries of a backup."""
         out = cls(spark, target, dim, flush_threshold)
         out._append(spark.read.parquet(path).withColumn("op", F.lit(INSERT)))
+        out._last = None
         return out
 
     def drain(self) -> DataFrame:
@@ -108,6 +118,7 @@ class Delta:
         rows = stored(live(self.log()), "drained")
         self.path = f"{self.path.split('@')[0]}@{uuid.uuid4().hex}"
         self._append(self.spark.createDataFrame([], LOG_DDL))
+        self._last = None
         return rows
 
     def flush(self, index: Index) -> Index:

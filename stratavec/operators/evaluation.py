@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavec.operators.knn import batch_search
-from stratavec.operators.voting import VOTES
 from stratavec.sources.index import Index
 
 
@@ -34,16 +33,15 @@ def distance_stats(pairs: DataFrame, label: str) -> DataFrame:
     return pairs.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg("dist").alias("mean"), F.stddev_pop("dist").alias("deviation"), F.min("dist").alias("least"), F.max("dist").alias("most"))
 
 
-def threshold_sweep(pairs: DataFrame, votes: int = VOTES) -> DataFrame:
-    """pairs: row_idx, target (boolean), dist. One row: the threshold from the least target distance up to the largest other one (excluded) with the best F1 when rows with at least `votes` distances within it are predicted; the first of equals.
+def threshold_sweep(profile: DataFrame) -> DataFrame:
+    """profile: target (boolean), least, most and nth (null if there are fewer) distance of each row to the queries. One row: the threshold from the least target distance up to the largest other one (excluded) with the best F1 when rows with nth distances within it are predicted; the first of equals.
 
-    A row turns positive at its votes-th smallest distance, so counts by that distance, and sums
-    of them, give every threshold's matrix without looking at rows again.
+    A row turns positive at its nth smallest distance, so counts by that distance, and sums of them,
+    give every threshold's matrix. Only these counts are shuffled.
     """
-    order = Window.partitionBy("row_idx").orderBy("dist")
-    turn = pairs.withColumn("n", F.row_number().over(order)).filter(F.col("n") == votes).select("target", F.col("dist").alias("at"))
-    span = pairs.agg(F.min(F.when(F.col("target"), F.col("dist"))).alias("low"), F.max(F.when(~F.col("target"), F.col("dist"))).alias("high"))
-    total = pairs.filter("target").agg(F.countDistinct("row_idx").alias("targets"))
+    span = profile.agg(F.min(F.when(F.col("target"), F.col("least"))).alias("low"), F.max(F.when(~F.col("target"), F.col("most"))).alias("high"))
+    total = profile.agg(F.count_if("target").alias("targets"))
+    turn = profile.filter("nth IS NOT NULL").select("target", F.col("nth").alias("at"))
     by = turn.groupBy("at").agg(F.count_if("target").alias("t"), F.count_if(~F.col("target")).alias("o"))
     points = span.filter("low < high").select(F.explode(F.sequence("low", F.col("high") - 1)).alias("threshold"))
     both = points.select("threshold", F.lit(0).alias("t"), F.lit(0).alias("o"), F.lit(True).alias("asked")).unionByName(by.select(F.col("at").alias("threshold"), "t", "o", F.lit(False).alias("asked")))
@@ -75,7 +73,6 @@ def throughput(rows: int, queries: int, seconds: float) -> dict:
     return {"mvps": rows * queries / seconds / 1e6, "us_per_query": seconds / queries * 1e6}
 
 
-def write_metrics(metrics: dict, path: str) -> None:
-    """A benchmark's figures as JSON, on the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(metrics, f, indent=2, sort_keys=True)
+def write_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
+    """A benchmark's figures as one line of JSON, wherever Spark can write."""
+    spark.createDataFrame([(json.dumps(metrics, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -211,11 +211,32 @@ def exact_knn(records: DataFrame, queries: DataFrame | np.ndarray, k: int, dim:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "dist")
 
 
-def hamming_pairs(index: Index, queries: DataFrame | np.ndarray) -> DataFrame:
-    """Every query against every row, by the bits that differ: qid, row_idx, id, dist. The queries are the broadcast side."""
+def row_profile(index: Index, queries: DataFrame | np.ndarray, nth: int) -> DataFrame:
+    """Each row's Hamming distances to all queries, summed up without leaving its task: row_idx, id, least, most, and the nth smallest (null of fewer queries)."""
+    ready(index.rows.sparkSession)
+    asked, names = collect_queries(queries, index.spec.dim), index.spec.code_columns()
+    words = [codes(rotate(asked.vectors, index.spec), index.spec)[n].view(np.uint64) for n in names]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1 << 10):
+                part = b.slice(at, 1 << 10)
+                rows = [c.to_numpy().view(np.uint64) for c in part.columns[2:]]
+                d = sum(np.bitwise_count(r[:, None] ^ q[None, :]).astype(np.int32) for r, q in zip(rows, words, strict=True))
+                near = pa.array(np.partition(d, nth - 1, 1)[:, nth - 1].astype(np.int64)) if nth <= d.shape[1] else pa.nulls(len(d), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(d.min(1).astype(np.int64)), pa.array(d.max(1).astype(np.int64)), near], names=["row_idx", "id", "least", "most", "nth"])
+
+    if not len(asked.ids):
+        none = F.lit(None).cast("long")
+        return index.rows.select("row_idx", "id", none.alias("least"), none.alias("most"), none.alias("nth"))
+    return index.rows.select("row_idx", "id", *names).mapInArrow(task, "row_idx long, id long, least long, most long, nth long")
+
+
+def hamming_pairs(index: Index, queries: DataFrame | np.ndarray, beside: tuple[str, ...] = ()) -> DataFrame:
+    """Every query against every row, by the bits that differ: qid, row_idx, id, dist, and columns beside them. The queries are the broadcast side."""
     asked = collect_queries(queries, index.spec.dim)
     names = index.spec.code_columns()
     words = codes(rotate(asked.vectors, index.spec), index.spec)
     side = index.rows.sparkSession.createDataFrame([(int(q), *(int(words[n][i]) for n in names)) for i, q in enumerate(asked.ids)], ", ".join(["qid long", *(f"q_{n} long" for n in names)]))
     distance = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"q_{n}"))) for n in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"q_{names[0]}"))))
-    return index.rows.select("row_idx", "id", *names).crossJoin(F.broadcast(side)).select("qid", "row_idx", "id", distance.alias("dist"))
+    return index.rows.select("row_idx", "id", *beside, *names).crossJoin(F.broadcast(side)).select("qid", "row_idx", "id", distance.alias("dist"), *beside)

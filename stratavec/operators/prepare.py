@@ -12,6 +12,28 @@ from pyspark.sql import functions as F
 from stratavec.session import ready
 
 
+PRIME = 2147483647
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Three rounds of shift and multiply modulo a prime, in whole numbers that SQL can follow."""
+    for shift, factor in ((15, 48271), (12, 69621), (14, 16807)):
+        x = (x ^ (x >> shift)) * factor % PRIME
+    return x
+
+
+def normals(ids: np.ndarray, dim: int, seed: int) -> np.ndarray:
+    """A row of normal values for each id; value j depends on id, j and seed alone (Box and Muller's cosine)."""
+    start = (ids.astype(np.int64)[:, None] * 1000003 + np.arange(dim) * 7919 + seed * 104729) % PRIME
+    first = _mixed(start)
+    second = _mixed((first + 3 * start + 12345) % PRIME)
+    return np.sqrt(-2 * np.log((first + 1) / (PRIME + 1))) * np.cos(2 * np.pi * (second / PRIME))
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+
+
 def replicated(rows: DataFrame, n: int, id_col: str = "id", count: int | None = None) -> DataFrame:
     """n rows, of which number i is row i mod count; id_col runs from 0 to count - 1 and is renumbered."""
     size = count or rows.count()
@@ -19,15 +41,19 @@ def replicated(rows: DataFrame, n: int, id_col: str = "id", count: int | None =
 
 
 def tiled(rows: DataFrame, times: int, deviation: float, seed: int = 42, id_col: str = "id", vector_col: str = "vector", stride: int | None = None) -> DataFrame:
-    """Every row so often, with normal noise on each value; copy c of id i gets id c * stride + i."""
+    """Every row so often, with normal noise on each value (see normals()); copy c of id i gets id c * stride + i."""
     ready(rows.sparkSession)
     step = stride or rows.count()
     copies = rows.select(id_col, vector_col).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).select((F.col("_c") * step + F.col(id_col)).cast("long").alias(id_col), vector_col)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(np.array(v, np.float32) + np.random.default_rng((seed, i)).normal(0, deviation, len(v))).astype(np.float32) for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=b.schema.names)
+            flat, sizes = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32), b.column(1).value_lengths().fill_null(0).to_numpy()
+            if not len(flat):
+                yield b
+                continue
+            noise = normals(b.column(0).to_numpy(), int(sizes.max()), seed)[np.arange(int(sizes.max())) < sizes[:, None]]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists((flat + deviation * noise).astype(np.float32), sizes)], names=b.schema.names)
 
     return copies.mapInArrow(task, copies.schema)
 
@@ -69,9 +95,9 @@ def synthetic(spark: SparkSession, n: int, dim: int, seed: int = 42, parts: int
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            out = np.stack([np.random.default_rng((seed, int(i))).standard_normal(dim) for i in ids]) if len(ids) else np.zeros((0, dim))
-            out = (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), pa.list_(pa.float32()))], names=["id", "vector"])
+            out = normals(ids, dim, seed)
+            out = (out / np.sqrt((out * out).sum(1, keepdims=True))).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out.ravel(), np.full(len(ids), dim))], names=["id", "vector"])
 
     return spark.range(0, n, 1, parts).mapInArrow(task, "id long, vector array<float>")
 

@@ -127,6 +127,10 @@ class Engine:
     def delete(self, name: str, ids: list[int]) -> list[int]:
         return self._delta(name).delete(ids)
 
+    def delete_rows(self, name: str, ids: DataFrame) -> DataFrame:
+        """delete() for a frame of ids of any size."""
+        return self._delta(name).delete_rows(ids)
+
     def delta_size(self, name: str) -> int:
         return self._delta(name).size()
 

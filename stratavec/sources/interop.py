@@ -1,18 +1,20 @@
 """Binary files of vector tools: index headers and columns, operation logs, delta dumps, .fvecs / .ivecs and .npy.
 
-Codecs work on bytes. Readers of large files go through Spark's binaryFile source, a file per row,
-or, for files of fixed-size rows on a path that executors can open, over ranges of rows.
+Codecs work on bytes. Files of fixed-size rows are split among tasks by Spark's own reader of binary
+records; logs go through the binaryFile source, a file per row, as their rows differ in size.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratavec.functions.spec import FLOAT, IndexSpec, UnsupportedLayout
 from stratavec.session import ready
@@ -146,8 +148,13 @@ def _files(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
 
 
 def read_vecs(spark: SparkSession, path: str, floats: bool = True) -> DataFrame:
-    """path, row (from 0 in its file), vector of .fvecs or .ivecs files."""
+    """path, row (from 0 in its file), vector of .fvecs or .ivecs files. A single file is split among tasks; of several, each is one task's work."""
     kind = pa.float32() if floats else pa.int32()
+    files = [(r[0], r[1]) for r in spark.read.format("binaryFile").load(path).select("path", "length").take(2)]
+    if len(files) == 1 and files[0][1]:
+        dim = int(np.frombuffer(spark.sparkContext.binaryRecords(path, 4).first(), "<i4")[0])
+        rows = _decoded(records(spark, path, 4 + 4 * dim), {"vector": pa.list_(kind)}, f"vector array<{'float' if floats else 'int'}>", lambda raw, n: [list(parse_vecs(raw, floats))])
+        return rows.select(F.lit(files[0][0]).alias("path"), "row", "vector")
 
     def decode(name: str, raw: bytes) -> pa.RecordBatch:
         rows = parse_vecs(raw, floats)
@@ -167,26 +174,69 @@ def read_log(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return _files(spark, path, decode, "path string, seq long, op tinyint, id long, vector array<float>")
 
 
+def records(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """row (from 0), raw: the rows of one file of rows of a fixed size. The file is split among tasks, whatever its length."""
+    ready(spark)
+    found = spark.sparkContext.binaryRecords(path, size).zipWithIndex()
+    return spark.createDataFrame(found.map(lambda r: (r[1], bytearray(r[0]))), "row long, raw binary")
+
+
+def _decoded(rows: DataFrame, fields: dict[str, pa.DataType], ddl: str, decode) -> DataFrame:
+    """row and the columns that decode makes of the bytes of many rows, one after another."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = decode(b"".join(b.column(1).to_pylist()), b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True))], names=["row", *fields])
+
+    return rows.mapInArrow(task, f"row long, {ddl}")
+
+
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """row, vector of a two-dimensional .npy file, through the driver."""
-    rows = parse_npy(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    return spark.createDataFrame(pa.table({"row": np.arange(len(rows)), "vector": pa.array(list(rows.astype(np.float32)), pa.list_(pa.float32()))}))
+    """row, vector of a two-dimensional .npy file of floats in row order. Only its header goes through the driver.
+
+    Rows are read as records that divide both the header's and a row's length, and put together
+    again by row where these are shorter than a row.
+    """
+    raw = b"".join(spark.sparkContext.binaryRecords(path, 64).take(16))
+    head = io.BytesIO(raw)
+    version = np.lib.format.read_magic(head)
+    shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    if fortran or len(shape) != 2 or kind.kind != "f":
+        raise UnsupportedLayout("a matrix of floats in row order is needed")
+    before, width = head.tell(), shape[1] * kind.itemsize
+    if not shape[0] or not width:
+        return spark.createDataFrame([], "row long, vector array<float>")
+    step = math.gcd(before, width)
+    place = F.col("row") * step - before
+    parts = records(spark, path, step).filter(place >= 0)
+    if step == width:
+        rows = parts.select((place / width).cast("long").alias("row"), "raw")
+    else:
+        parts = parts.select(F.floor(place / width).alias("row"), (place % width).alias("k"), "raw")
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", F.hex("raw").alias("raw")))), lambda x: x["raw"]), "")
+        rows = parts.groupBy("row").agg(F.unhex(whole).alias("raw"))
+    return _decoded(rows, {"vector": pa.list_(pa.float32())}, "vector array<float>", lambda raw, n: [list(np.frombuffer(raw, kind).reshape(n, -1).astype(np.float32))])
 
 
 def read_columns(spark: SparkSession, ids: str, meta: str, tiers: list[str], spec: IndexSpec, half: str | None = None) -> DataFrame:
-    """Index rows from column files, one whole file each, joined by position."""
-    load = lambda p: bytes(spark.read.format("binaryFile").load(p).select("content").first()[0])
-    key = longs(load(ids))
-    columns = {"row_idx": np.arange(len(key)), "id": key, "meta": longs(load(meta))}
-    parts = [parse_tier(load(p), w, spec.q_mode) for p, w in zip(tiers, spec.widths, strict=True)]
-    if spec.q_mode == FLOAT:
-        columns |= {f"t{k}": pa.array(list(p[0]), pa.list_(pa.float32())) for k, p in enumerate(parts)}
-    else:
-        split = [(p[: len(p) // 2], p[len(p) // 2 :]) if spec.q_mode else (p, []) for p in parts]
-        for name, which in (("w", 0),) if not spec.q_mode else (("s", 0), ("m", 1)):
-            columns |= {f"{name}{i}": c for i, c in enumerate(c for s in split for c in s[which])}
+    """Index rows from column files, joined by position; each file is split among tasks."""
+    whole = lambda name: ({name: pa.int64()}, f"{name} long", lambda raw, n: [longs(raw)])
+    rows = _decoded(records(spark, ids, 8), *whole("id")).join(_decoded(records(spark, meta, 8), *whole("meta")), "row")
+    at = 0
+    for k, (path, width) in enumerate(zip(tiers, spec.widths, strict=True)):
+        words = -(-width // 64)
+        if spec.q_mode == FLOAT:
+            names, size, kind, ddl = [f"t{k}"], 4 * width, pa.list_(pa.float32()), "array<float>"
+        else:
+            names, kind, ddl = [f"{c}{i}" for c in ("sm" if spec.q_mode else "w") for i in range(at, at + words)], pa.int64(), "long"
+            size = 8 * len(names)
+        found = _decoded(
+            records(spark, path, size), dict.fromkeys(names, kind), ", ".join(f"{n} {ddl}" for n in names),
+            lambda raw, n, w=width, q=spec.q_mode: [list(parse_tier(raw, w, q)[0])] if q == FLOAT else [np.ascontiguousarray(c) for c in parse_tier(raw, w, q)],
+        )
+        rows, at = rows.join(found, "row"), at + words
     if half:
-        columns["vec_h"] = pa.array(list(parse_half(load(half), spec.dim)), pa.list_(pa.float32()))
-    from pyspark.sql import functions as F
-
-    return spark.createDataFrame(pa.table({k: v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v)) for k, v in columns.items()})).withColumn("is_live", F.col("meta").bitwiseAND(F.lit(1)) == 0)
+        rows = rows.join(_decoded(records(spark, half, 2 * spec.dim), {"vec_h": pa.list_(pa.float32())}, "vec_h array<float>", lambda raw, n, d=spec.dim: [list(parse_half(raw, d))]), "row")
+    names = [*spec.code_columns(), *["vec_h"] * bool(half)]
+    return rows.select(F.col("row").alias("row_idx"), "id", "meta", (F.col("meta").bitwiseAND(F.lit(1)) == 0).alias("is_live"), *names)
