@@ -3,9 +3,9 @@
 Texts become token ids, and texts beyond a sequence's length are cut into pieces. How many pieces
 have each length is a histogram of as many bins as a sequence has places, whatever the corpus.
 Patterns of two or three lengths that fill a sequence exactly are enumerated, and non-negative
-least squares fits how often each is used to the histogram. The counts are rounded down, and what
-is left of the histogram is packed by best fit, again as patterns with counts. The plan is a small
-table: of each length, which run of its pieces goes to which sequences and where. Pieces of a
+least squares fits how often each is used to the histogram. The counts are rounded, and what is left
+of the histogram is fitted again; the few pieces that then remain are packed by best fit, again as
+patterns with counts. The plan is a small table: of each length, which run of its pieces goes to which sequences and where. Pieces of a
 length are numbered in parallel and look their place up.
 """
 
@@ -31,7 +31,9 @@ from stratavec.session import partitions, ready, stored
 CAPACITY = 1024
 END = 2
 CACHE_ENTRIES = 250_000
-SWEEPS = 60
+STEPS = 300
+ROUNDS = 4
+ONCE = 0.05
 #: Splits a text before a single space between two words, where no token spans it.
 BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r" \s|\s ")
@@ -130,31 +132,72 @@ def patterns(capacity: int, histogram: np.ndarray) -> list[tuple[int, ...]]:
     return out
 
 
-def fit(histogram: np.ndarray, found: list[tuple[int, ...]], sweeps: int = SWEEPS) -> list[int]:
-    """How often to use each pattern: non-negative least squares by coordinates, rounded so that no length is used up twice."""
-    rest = histogram.astype(float).tolist()
-    times = [0.0] * len(found)
-    norms = [float(sum(p.count(x) ** 2 for x in set(p))) for p in found]
-    for _ in range(sweeps):
-        moved = 0.0
-        for i, p in enumerate(found):
-            step = max(-times[i], sum(rest[x] for x in p) / norms[i])
-            if step:
-                times[i] += step
-                moved += abs(step)
-                for x in p:
-                    rest[x] -= step
-        if moved < 0.5:
+def least_squares(histogram: np.ndarray, places: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """How often each pattern is used, not below zero, with the least sum of squared differences to the histogram, a length's difference weighing as its tokens.
+
+    places: a row of lengths for each pattern, 0 where it has fewer. Accelerated projected gradients
+    with restarts.
+    """
+    weight = np.arange(len(histogram)) / (len(histogram) - 1)
+    pieces = lambda t: sum(np.bincount(column, t, len(histogram)) for column in places.T)
+    back = lambda rest: (weight * rest)[places].sum(1)  # noqa: E731 - length 0 weighs nothing
+    v = np.ones(len(places))
+    for _ in range(30):  # the largest eigenvalue, by the power method
+        v = back(pieces(v))
+        size = float(np.linalg.norm(v))
+        v /= size
+    times, point, speed = np.zeros(len(places)), np.zeros(len(places)), 1.0
+    for _ in range(steps):
+        new = np.maximum(0.0, point - back(pieces(point) - histogram) / (1.02 * size))
+        if ((point - new) * (new - times)).sum() > 0:
+            speed = 1.0
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        point, times, speed = new + (speed - 1) / faster * (new - times), new, faster
+    return times
+
+
+def rounded(left: list[int], found: list[tuple[int, ...]], once: float) -> list[tuple[tuple[int, ...], int]]:
+    """A least squares fit of patterns to a histogram as whole counts, the most used first, so that no length is used up twice.
+
+    Counts are rounded down, and those from once to 1 stand for one.
+    """
+    if not found:
+        return []
+    times = least_squares(np.array(left), np.array([p + (0,) * (3 - len(p)) for p in found]))
+    have, out = list(left), []
+    for i in np.argsort(-times, kind="stable").tolist():
+        if times[i] < once:
             break
-    left, out = histogram.tolist(), []
-    for t, p in zip(times, found, strict=True):
-        n = max(0, min(int(t + 1e-6), *(left[x] // p.count(x) for x in p)))
-        out.append(n)
-        for x in p:
-            left[x] -= n
+        p = found[i]
+        n = min(max(1, int(times[i])), *(have[x] // p.count(x) for x in p))
+        if n:
+            out.append((p, n))
+            for x in p:
+                have[x] -= n
     return out
 
 
+def fitted(histogram: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], list[int]]:
+    """Patterns with counts, and what they leave of the histogram for best fit.
+
+    What a fit leaves is fitted again, up to ROUNDS times. A round after which more sequences would
+    be needed in all is not taken, and is the last.
+    """
+    used, left = [], histogram.astype(np.int64).tolist()
+    least = sum(n for _, n in best_fit(list(left), capacity))
+    for k in range(ROUNDS):
+        more = rounded(left, patterns(capacity, np.array(left)), ONCE if k else 1.0)
+        rest = list(left)
+        for p, n in more:
+            for x in p:
+                rest[x] -= n
+        needed = sum(n for _, n in used + more) + sum(n for _, n in best_fit(list(rest), capacity))
+        if not more or needed > least:
+            break
+        used, left, least = used + more, rest, needed
+    return used, left
+
+
 def best_fit(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns with counts for all of a histogram: the largest length first, with what fills its sequence best."""
     out = []
@@ -184,30 +227,13 @@ def best_fit(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]
     return out
 
 
-#: How much of the fitted counts is used before best fit takes over, and whether threes are among the patterns; the plan of the fewest sequences is taken.
-VARIANTS = ((1.0, True), (1.0, False), (0.8, True), (0.8, False), (0.5, False))
-
-
-def _packed(lower: np.ndarray, capacity: int, share: float, fitted: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
-    used = [(p, n) for p, t in fitted if (n := int(share * t))]
-    left = lower.tolist()
-    for p, n in used:
-        for x in p:
-            left[x] -= n
-    return used + best_fit(left, capacity)
-
-
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Rows length, first piece of that length, how many, first sequence, offset: the place of every piece."""
     full = int(histogram[capacity])
     lower = histogram.copy()
     lower[capacity] = 0
-    found = patterns(capacity, lower)
-    fitted = {}
-    for threes in (True, False):
-        some = [p for p in found if threes or len(p) == 2]
-        fitted[threes] = list(zip(some, fit(lower, some), strict=True))
-    used = min((_packed(lower, capacity, share, fitted[threes]) for share, threes in VARIANTS), key=lambda u: sum(n for _, n in u))
+    used, left = fitted(lower, capacity)
+    used += best_fit(left, capacity)
     if full:
         used.append(((capacity,), full))
     rows, taken, sequence = [], [0] * (capacity + 1), 0

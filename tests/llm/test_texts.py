@@ -116,6 +116,31 @@ def test_packing_plan_is_close_to_the_bound():
         assert used <= 1.01 * bound + 2
 
 
+def test_packing_fit_is_what_packs():
+    """Fitted patterns place most pieces of broad histograms, and on none are more sequences needed than best fit alone needs."""
+    rng = np.random.default_rng(7)
+    for sizes, broad in ((rng.integers(1, 1024, 30_000), True), (np.clip(rng.gamma(2.0, 250.0, 30_000).astype(int), 1, 1023), True), (rng.integers(300, 700, 5_000), False)):
+        histogram = np.bincount(sizes, minlength=1025)
+        used, left = packing.fitted(histogram, 1024)
+        alone = sum(n for _, n in packing.best_fit(histogram.tolist(), 1024))
+        table = packing.plan(histogram)
+        assert int((table[:, 3] + table[:, 2]).max()) <= alone and (not broad or sum(left) < 0.3 * histogram.sum())
+
+
+def test_least_squares_against_the_normal_equations():
+    """Where the solution has no zero, it solves the weighted normal equations; no step in any coordinate improves it."""
+    histogram = np.bincount([1, 1, 2, 2, 2, 3, 3, 4, 5, 6], minlength=9)
+    found = packing.patterns(8, histogram)
+    places = np.array([p + (0,) * (3 - len(p)) for p in found])
+    times = packing.least_squares(histogram, places, 4000)
+    matrix = np.zeros((9, len(found)))
+    for j, p in enumerate(found):
+        for x in p:
+            matrix[x, j] += 1
+    gradient = matrix.T @ (np.arange(9) / 8 * (matrix @ times - histogram))
+    assert (times >= 0).all() and (gradient > -1e-4).all() and (np.abs(gradient[times > 1e-6]) < 1e-4).all()
+
+
 def test_packing_patterns_are_all_exact_twos_and_threes():
     histogram = np.bincount(np.random.default_rng(2).integers(1, 1024, 400), minlength=1025)
     have = np.flatnonzero(histogram).tolist()
