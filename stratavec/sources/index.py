@@ -10,26 +10,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavec.functions.energy import active_tier, tier_energy
-from stratavec.functions.spec import IndexSpec, UnsupportedLayout
+from stratavec.functions.spec import FLOAT, IndexSpec, UnsupportedLayout
 from stratavec.functions.transform import encode
 from stratavec.session import stored
 
 VALID = 2
+PAYLOAD_BLOCK = 8 << 20
 TOMBSTONE = 1
 
 
 @dataclass
 class Index:
-    """Rows row_idx, id, meta, is_live, the code columns, and vec_h if there is a half vector; and how to search them."""
+    """Rows row_idx, id, meta, is_live, the code columns, and vec_h if there is a half vector; and how to search them.
+
+    A loaded index has its half vectors apart, as payload: row_idx, id, vec_h in the order of row_idx.
+    """
 
     rows: DataFrame
     spec: IndexSpec
     weights: np.ndarray | None = None
     budget: float = 0.90
+    payload: DataFrame | None = None
 
     @property
     def has_half(self) -> bool:
-        return "vec_h" in self.rows.columns
+        return self.payload is not None or "vec_h" in self.rows.columns
+
+    def whole(self) -> DataFrame:
+        """The rows with their half vectors beside them."""
+        return self.rows if self.payload is None else self.rows.join(self.payload.select("row_idx", "vec_h"), "row_idx")
 
     @property
     def last_tier(self) -> int:
@@ -66,8 +75,13 @@ def header(spec: IndexSpec) -> str:
 
 
 def write(rows: DataFrame, path: str, spec: IndexSpec) -> None:
+    """Codes in the order of the first of them, so that a vote's gate prunes; half vectors apart, in the order of positions, so that a search fetches few."""
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    codes = rows.drop("vec_h")
+    first = F.col("row_idx" if spec.q_mode == FLOAT else spec.code_columns()[0])
+    codes.repartitionByRange(first).sortWithinPartitions(first).write.mode("overwrite").parquet(f"{path}/rows")
+    if "vec_h" in rows.columns:
+        rows.select("row_idx", "id", "vec_h").repartitionByRange("row_idx").sortWithinPartitions("row_idx").write.mode("overwrite").option("parquet.block.size", PAYLOAD_BLOCK).parquet(f"{path}/payload")
     spark.createDataFrame([(header(spec),)], "header string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
@@ -75,18 +89,17 @@ def compile_index(records: DataFrame, path: str, spec: IndexSpec, **columns) ->
     """Encodes records once and writes them; an index without records is refused."""
     if records.isEmpty():
         raise ValueError("an index needs records")
-    rows = build(records, spec, **columns)
-    code = spec.code_columns()[0]
-    write(rows.repartitionByRange(F.col(code) if spec.q_mode != 2 else F.col("row_idx")), path, spec)
+    write(stored(build(records, spec, **columns), "encoded"), path, spec)
 
 
 def load_index(spark: SparkSession, path: str, weights: np.ndarray | None = None, budget: float = 0.90) -> Index:
-    """An index as it was written. Whether it has half vectors shows in its columns."""
+    """An index as it was written; its header says whether it has half vectors."""
     head = json.loads(spark.read.text(f"{path}/header").first()[0])
     if head.get("magic") != "PLAN":
         raise UnsupportedLayout(f"{path} has no index header")
     spec = IndexSpec(head["dim"], tuple(head["tiers"]), head["q_mode"], head["half"], head["planet_id"], head["radius"])
-    return Index(spark.read.parquet(f"{path}/rows"), spec, weights, budget)
+    payload = spark.read.parquet(f"{path}/payload") if head["half"] else None
+    return Index(spark.read.parquet(f"{path}/rows"), spec, weights, budget, payload)
 
 
 def _layout(spec: IndexSpec) -> tuple:
@@ -100,7 +113,7 @@ def concatenated(sources: list[Index]) -> Index:
     half = all(s.has_half for s in sources)
     out, before = None, 0
     for i, s in enumerate(sources):
-        rows = s.rows if half or not s.has_half else s.rows.drop("vec_h")
+        rows = s.whole() if half else s.rows.drop("vec_h")
         rows = rows.withColumn("row_idx", F.col("row_idx") + F.lit(before))
         out = rows if out is None else out.unionByName(rows)
         if i + 1 < len(sources):
@@ -112,11 +125,11 @@ def concatenated(sources: list[Index]) -> Index:
 
 def compact(spark: SparkSession, paths: list[str], target: str) -> None:
     whole = concatenated([load_index(spark, p) for p in paths])
-    write(whole.rows, target, whole.spec)
+    write(stored(whole.rows, "compacted"), target, whole.spec)
 
 
 def tombstoned(index: Index, condition) -> Index:
     """The index with the rows that meet a condition marked as deleted."""
     meta = F.when(condition, F.col("meta").bitwiseOR(F.lit(TOMBSTONE))).otherwise(F.col("meta"))
     rows = index.rows.withColumn("meta", meta).withColumn("is_live", F.col("meta").bitwiseAND(F.lit(TOMBSTONE)) == 0)
-    return Index(rows, index.spec, index.weights, index.budget)
+    return Index(rows, index.spec, index.weights, index.budget, index.payload)

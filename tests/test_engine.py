@@ -73,6 +73,41 @@ def test_last_tier_is_no_pruning(spark):
     assert sorted(map(tuple, whole.select("qid", "rank", "id").collect())) == sorted(map(tuple, one.select("qid", "rank", "id").collect()))
 
 
+def test_candidates_are_pushed_down_to_the_payload(spark, tmp_path):
+    spec = IndexSpec(64, (64,))
+    engine = Engine(spark)
+    engine.compile_index(frame(spark, vectors(3000, 64)), str(tmp_path / "p"), spec)
+    index = engine.load_index("p", str(tmp_path / "p"))
+    assert "vec_h" not in index.rows.columns and index.has_half
+    found = knn.Candidates(np.array([5, 6, 7, 2000, 2001]), np.zeros(5, np.int64), np.zeros(5))
+    rows = knn.candidate_rows(index, found, "vec_h")
+    plan = rows._jdf.queryExecution().toString().split("PushedFilters: ")[-1]
+    assert plan.startswith("[Or(And(GreaterThanOrEqual(row_idx,5),LessThanOrEqual(row_idx,7)),And(GreaterThanOrEqual(row_idx")  # the plan's text is cut off there
+    assert sorted(r["row_idx"] for r in rows.collect()) == [5, 6, 7, 2000, 2001]
+    dense = knn.candidate_rows(index, knn.Candidates(np.arange(100, 200, 2), np.zeros(50, np.int64), np.zeros(50)), "vec_h")
+    assert set(range(100, 200, 2)) <= {r["row_idx"] for r in dense.collect()} <= set(range(100, 200))
+
+
+def test_ranges_hold_all_values(spark):
+    rng = np.random.default_rng(3)
+    for most in (1, 2, 5, 64):
+        values = np.unique(rng.integers(0, 500, 60))
+        kept = spark.range(500).filter(knn.between("id", values, most)).toPandas()["id"].to_numpy()
+        assert set(values.tolist()) <= set(kept.tolist()) and (most < 60 or set(kept.tolist()) == set(values.tolist()))
+    assert spark.range(5).filter(knn.between("id", np.zeros(0, np.int64))).count() == 0
+
+
+@pytest.mark.parametrize("mode", [ONE_BIT, TWO_BIT, FLOAT])
+@pytest.mark.parametrize("half", [True, False])
+def test_many_candidates_are_joined_by_a_shuffle(spark, monkeypatch, mode, half):
+    x, spec = vectors(400, 128, 11), IndexSpec(128, (64, 128), mode, half)
+    index = Index(build(frame(spark, x), spec), spec)
+    found = [sorted(map(tuple, knn.batch_search(index, x[:6], 7).collect()))]
+    monkeypatch.setattr(knn, "CANDIDATE_BYTES", 0)
+    found.append(sorted(map(tuple, knn.batch_search(index, x[:6], 7).collect())))
+    assert len(found[0]) == 42 and [r[:4] for r in found[0]] == [r[:4] for r in found[1]]
+
+
 def test_plan_prunes_and_pushes(spark, tmp_path):
     spec = IndexSpec(128, (64, 128))
     engine = Engine(spark)
