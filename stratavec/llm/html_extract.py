@@ -2,8 +2,9 @@
 
 A page is a sequence of tokens: words, which score positive, and tags, which score negative, with
 weights learned from labelled pages. One linear scan finds the contiguous stretch of the largest
-total: the content region. The weight of a token depends on its kind: a word in plain text or in a
-link, a tag of running text, of a list or table, of navigation, or another. Elements whose name says
+total: the content region. The weight of a token depends on its kind: a word in plain text, in a
+headline, in a short line that ends no sentence, or in a link; a tag of running text, of a list or
+table, or another. Elements whose name says
 that they are never content (scripts, menus, forms and the like), and containers of which a whole
 class, id or role says so (adverts, comments and the like), count as one low-scoring token each, and
 their text is left out. Where such a word is only part of a container's class, its start, end and
@@ -43,8 +44,15 @@ HINT = re.compile(rf"(?:^|[\s_-]){NEVER_WORDS}(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in RAW}
-KINDS = ("word", "link_word", "inline_tag", "text_tag", "list_tag", "other_tag", "skipped", "hinted_word")
-WORD, LINK_WORD, INLINE_TAG, TEXT_TAG, LIST_TAG, OTHER_TAG, SKIPPED, HINTED_WORD = range(len(KINDS))
+KINDS = ("word", "link_word", "inline_tag", "text_tag", "list_tag", "other_tag", "skipped", "hinted_word", "head_word", "short_word")
+WORD, LINK_WORD, INLINE_TAG, TEXT_TAG, LIST_TAG, OTHER_TAG, SKIPPED, HINTED_WORD, HEAD_WORD, SHORT_WORD = range(len(KINDS))
+WORDS = (WORD, LINK_WORD, HINTED_WORD, HEAD_WORD, SHORT_WORD)
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SHORT = 8
+ENDS_SENTENCE = tuple(".!?…:;\"'”“»)。！？")
+#: Without an end tag, these run to the end of the page; of others only the tag itself is left out.
+ENDLESS = frozenset("script style xmp plaintext".split())
+HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 
 
@@ -58,7 +66,7 @@ def _never(name: str, attributes: str) -> bool:
 
 def tokens(page: str) -> Iterator[tuple[int, int, str | None, str, int]]:
     """kind, number of words, text (None for tags), element name, +1 / -1 / 0 for its start, end, or neither."""
-    at, skipping, link, hinted = 0, [], 0, []
+    at, skipping, link, inner, hinted, articles, endless = 0, [], 0, 0, [], 0, set()
     size = len(page)
     while at < size:
         m = TOKEN.search(page, at)
@@ -73,10 +81,13 @@ def tokens(page: str) -> Iterator[tuple[int, int, str | None, str, int]]:
             continue
         name, close = m[2].lower(), bool(m[1])
         if not close and name in RAW:
-            e = RAW_END[name].search(page, at) if not m[3].rstrip().endswith("/") else None
+            alone = m[3].rstrip().endswith("/")
+            e = RAW_END[name].search(page, at) if not alone and name not in endless else None
+            if e is None:
+                endless.add(name)
             if name == "head" and e is None:
                 continue
-            at = e.end() if e else (at if m[3].rstrip().endswith("/") else size)
+            at = e.end() if e else (size if name in ENDLESS and not alone else at)
             if not skipping:
                 yield SKIPPED, 0, None, name, 0
             continue
@@ -95,12 +106,17 @@ def tokens(page: str) -> Iterator[tuple[int, int, str | None, str, int]]:
                 continue
             else:
                 continue
-        if not close and name not in VOID and _never(name, m[3]):
+        if name in ARTICLE:
+            articles = max(0, articles + (-1 if close else 1))
+        if not close and name not in VOID and _never(name, m[3]) and not (name == "header" and articles):
             skipping.append(name)
             yield SKIPPED, 0, None, name, 0
             continue
         if name == "a":
-            link = 0 if close else 1
+            link, inner = int(not close and bool(HREF.search(m[3]))), 0
+        elif link and name not in INLINE and name not in VOID:  # a link ends with the block that it began in
+            inner += -1 if close else 1
+            link = int(inner >= 0)
         if hinted and name == hinted[-1][0]:
             hinted[-1][1] += -1 if close else 1
         elif not close and _named(HINT, name, m[3]):
@@ -128,7 +144,20 @@ def kinds_of(found: list[tuple[int, int, str | None, str, int]], wrappers: bool
         if not wrappers or 2 * (words[b] - words[a]) <= words[-1]:
             depth[a] += 1
             depth[b] -= 1
-    return [HINTED_WORD if t[0] == WORD and d else t[0] for t, d in zip(found, np.cumsum(depth)[:-1].tolist(), strict=True)]
+    kinds = [HINTED_WORD if t[0] == WORD and d else t[0] for t, d in zip(found, np.cumsum(depth)[:-1].tolist(), strict=True)]
+    block, head = [], False
+    for i, (kind, _, text, name, step) in enumerate([*found, (OTHER_TAG, 0, None, "", 0)]):
+        if text is not None:
+            block.append(i)
+        elif name not in INLINE and name != "br":
+            n, line = sum(found[j][1] for j in block), "".join(found[j][2] for j in block).rstrip()
+            short = n < SHORT and not line.endswith(ENDS_SENTENCE)
+            for j in block if head or short else ():
+                if kinds[j] == WORD:
+                    kinds[j] = HEAD_WORD if head else SHORT_WORD
+            block = []
+            head = step > 0 if name in HEADS else head and step >= 0 and kind != SKIPPED
+    return kinds
 
 
 def train(pages: list[str] = PAGES) -> np.ndarray:
@@ -143,8 +172,8 @@ def train(pages: list[str] = PAGES) -> np.ndarray:
                 counts[kind] += words if text is not None else 1
     odds = np.log(inside / inside.sum()) - np.log(outside / outside.sum())
     low, high = np.full(len(KINDS), -8.0), np.full(len(KINDS), -0.05)
-    low[WORD], high[WORD] = 0.2, 3.0
-    low[[LINK_WORD, HINTED_WORD]], high[[LINK_WORD, HINTED_WORD]] = -3.0, 0.1
+    low[[WORD, HEAD_WORD]], high[[WORD, HEAD_WORD]] = 0.2, 6.0
+    low[[LINK_WORD, HINTED_WORD, SHORT_WORD]], high[[LINK_WORD, HINTED_WORD, SHORT_WORD]] = -6.0, 0.1
     return np.clip(odds, low, high)
 
 
@@ -152,7 +181,7 @@ def region(kinds: list[int], words: list[int], weights: np.ndarray) -> tuple[int
     """The contiguous stretch of the largest positive total, the first of equals: one scan. Empty if no word scores."""
     best, total, start, found = 0.0, 0.0, 0, (0, 0)
     for i, (k, n) in enumerate(zip(kinds, words, strict=True)):
-        score = weights[k] * (n if k in (WORD, LINK_WORD, HINTED_WORD) else 1)
+        score = weights[k] * (n if k in WORDS else 1)
         if total <= 0:
             total, start = 0.0, i
         total += score
@@ -164,7 +193,10 @@ def region(kinds: list[int], words: list[int], weights: np.ndarray) -> tuple[int
 def extract(page: str | None, weights: np.ndarray) -> str:
     """The main text: white space within a block as one space, blocks joined by a line feed."""
     found = list(tokens(page or ""))
-    lo, hi = region(kinds_of(found), [t[1] for t in found], weights)
+    kinds, words = kinds_of(found), [t[1] for t in found]
+    lo, hi = region(kinds, words, weights)
+    if lo == hi:  # a page of short lines only
+        lo, hi = region([WORD if k == SHORT_WORD else k for k in kinds], words, weights)
     if lo == hi:
         return ""
     depth, spans = [], []

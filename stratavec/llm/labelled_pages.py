@@ -7,4 +7,7 @@ PAGES = [
     """<html><body><table><tr><td><a href="/1">Index</a><br><a href="/2">Archive</a><br><a href="/3">Links</a></td><td>[[<p>The council met on Tuesday to discuss the new bridge, which is to replace the ferry that has crossed here since the war.</p><p>Most speakers agreed that the ferry cannot carry the traffic any longer, though some asked who would pay for the approach roads.</p><p>A decision is expected before the summer, once the report on the ground under the northern bank has been read.</p>]]</td></tr></table><p><small><a href="/print">Print</a> <a href="/mail">Mail</a></small></p></body></html>""",
     """<html lang="de"><body><nav><a href="/">Start</a><a href="/wir">Wir</a></nav><div class="banner">Jetzt sparen!</div>[[<article><h1>Im Moor</h1><p>Am Morgen lag der Nebel so dicht, dass man den Weg nur am Klang der Schritte auf den Bohlen erkennen konnte.</p><p>Erst gegen Mittag kam die Sonne durch, und mit ihr kamen die Libellen und das Geschrei der Kraniche im Westen.</p></article>]]<aside><p>Mehr zum Thema</p><a href="/1">Vögel</a><a href="/2">Pflanzen</a></aside><footer>Impressum</footer></body></html>""",
     """<html lang="fr"><body><div class="header"><a href="/">Accueil</a><a href="/fr">Actualités</a></div>[[<div class="article-body"><h1>Le vieux pont</h1><p>Le pont a été construit par des maçons venus de la vallée voisine, qui ont taillé chaque pierre sur place avant de la poser.</p><p>Après la crue de printemps il fallut refaire deux arches, mais le reste a tenu, et l'on passe encore dessus aujourd'hui.</p></div>]]<div class="share"><a href="#">Partager</a><a href="#">Imprimer</a></div><div class="advert">Offre spéciale</div><footer>Mentions légales</footer></body></html>""",
+    """<html><body><div><a href="/">Harbour News</a></div><div>Monday edition</div><div>We use cookies to improve this site. By going on you agree.</div>[[<div><h1>Ferry returns to service</h1><p>The ferry sailed again on Friday, three weeks after a broken shaft had kept it at the quay for the first time in years.</p><p>Passengers were glad of it, since the way round the bay takes two hours by bus and the last one leaves at six.</p></div>]]<div>Share this page</div><div>Copyright 2021 Harbour News</div><div>All prices include tax. Offers end on Sunday.</div></body></html>""",
+    """<html><body><table><tr><td colspan="2">Rose's garden pages</td></tr><tr><td><ul><li><a href="/r">Roses</a></li><li><a href="/h">Herbs</a></li></ul></td><td>[[<h2>Pruning in spring</h2><p>Cut back to an outward bud when the forsythia is in flower, and take out all wood that has died in the frost.</p><p>A clean and slanting cut lets the rain run off, so that it does not rot.</p><ul><li>Sharpen the shears first.</li><li>Burn whatever looks ill.</li></ul>]]</td></tr><tr><td colspan="2">Visitors so far: 4711</td></tr><tr><td>Last change in May</td></tr></table></body></html>""",
+    """<html><body><p><a href="/">Up</a> <a href="/2">Next</a></p>[[<h1>On the use of tar</h1><p>Tar keeps wood from rotting, and has been boiled from pine roots for as long as ships were built here.</p><h2>How it is made</h2><p>The roots are split, stacked in a pit with a drain at its lowest place, covered with turf and lit from above.</p><p>After some days the first drops run; by then the fire must be watched day and night.</p>]]<p>Page 3 of 12</p><p>Printed version</p><p><a href="/imprint">Imprint</a></p></body></html>""",
 ]
