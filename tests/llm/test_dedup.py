@@ -211,6 +211,27 @@ def test_radix_groups_are_in_byte_order():
         assert found[1].tolist() == [sorted(many).index(slices[i]) for i in found[0]]
 
 
+def test_passages_of_a_very_long_text():
+    """Over 2^20 bytes, in more parts than one, with copies of passages across their borders."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(1_150_000))
+    text = text[:600_000] + text[524_200:524_400] + text[600_000:] + text[1_048_500:1_048_700]
+    rows = [(1, text), (2, text[300:450])]
+    wanted, found = brute_passages(rows), in_process(rows, 2)
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for a, b in found[i]:
+            gone[a:b] = True
+        assert int(gone.sum()) == wanted[i][1] > 0
+
+
+def test_grams_of_a_very_long_text():
+    rng = random.Random(10)
+    text = " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(250_000))
+    (grams,) = nj.gram_sets(*utf8(pa.array([text])))
+    assert len(text) > 1 << 20 and len(grams) == len(shingles(text))
+
+
 def test_passages_edges(edges, none, docs_of):
     rows = suffix_dedup(edges).collect()
     assert len(rows) == EXPECT

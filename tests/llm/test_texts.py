@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tests.conftest import SF
 from tokenizers import Tokenizer
 
@@ -58,6 +60,13 @@ def test_bpe_odd_texts():
         assert decoded.decode() == library.decode(wanted, skip_special_tokens=False) and ours.decode(ids) == decoded
 
 
+def test_bpe_of_a_very_long_text():
+    library, ours, rng = Tokenizer.from_file(WORDS), WordBpe(WORDS), random.Random(2)
+    text = " ".join(rng.choice(["plain", "words", "über", "don't", "x" * 70, "日本", "4711", "a-b", "the"]) for _ in range(230_000))
+    (ids, decoded), wanted = ours.encode([text])[0], library.encode(text, add_special_tokens=False).ids
+    assert len(text) > 1 << 20 and np.frombuffer(ids, "<u4").tolist() == wanted and decoded.decode() == library.decode(wanted, skip_special_tokens=False)
+
+
 def test_bpe_edges(edges, none):
     rows = bpe_round(edges, WORDS, with_ids=True).collect()
     assert len(rows) == EXPECT and bpe_round(none, WORDS).count() == 0
@@ -246,6 +255,40 @@ def test_languages(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_margins_against_plain_kernels():
+    """Kernels of n-gram sets, the map by landmarks, and ridge regression, all written out."""
+    rng = random.Random(1)
+    letters_ = {"en": "the and of wh", "de": "der und ich ß", "es": "el que ñ los"}
+    rows = [(lang, " ".join(rng.choice(w.split()) + rng.choice("abc") for _ in range(30))) for lang, w in letters_.items() for _ in range(12)]
+
+    def places(text):
+        found = set()
+        lower = [ord(c.lower()[0]) if c.isalpha() else 32 for c in text]
+        for n in (1, 2, 3):
+            for i in range(len(lower) - n + 1):
+                g = 0
+                for j in range(n):
+                    g = (g + lower[i + j]) * int(li.FACTORS[j]) % 2**32
+                found.add(((g ^ (g >> 15)) * int(li.FACTORS[0]) % 2**32) >> 19)
+        return found
+
+    sets = [places(t) for _, t in rows]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = list(range(0, len(rows), 2))
+    k = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    z = k @ vectors / np.sqrt(np.maximum(values, 1e-6))
+    langs = sorted(letters_)
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for lang, _ in rows])
+    wanted = z @ np.linalg.solve(z.T @ z + li.RIDGE * len(rows) * np.eye(z.shape[1]), z.T @ y)  # classes of one size: equal weights
+    x = np.zeros((len(rows), li.PLACES), np.float32)
+    for row, (_, t) in zip(x, rows, strict=True):
+        li.presence(t, row)
+    assert [set(np.flatnonzero(r).tolist()) for r in x] == sets
+    found, _ = li.Model(x, [lang for lang, _ in rows], np.array(marks)).margins([t for _, t in rows])
+    assert np.abs(found - wanted).max() < 0.01
+
+
 def test_language_edges(edges, none):
     rows = language_id(edges).collect()
     assert len(rows) == EXPECT and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
@@ -291,6 +334,34 @@ def test_toxicity_edges(spark, edges, none):
     assert len({r["score"] for r in toxicity(edges, labels.limit(0)).collect()}) <= EXPECT
 
 
+def test_one_split_is_the_best_of_all():
+    """A tree of one level against every feature and cut, tried in turn."""
+    rng = np.random.default_rng(5)
+    for _ in range(5):
+        x, y = rng.integers(0, 12, (300, 4)).astype(float), (rng.random(300) < 0.4).astype(float)
+        y[x[:, 2] > 7] = 1
+        model = Boosted(depth=1, rounds=1, rate=1.0).fit(x, y)
+        p = y.mean()
+        g, h = y - p, np.full(300, p * (1 - p))
+        score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)  # noqa: B023, E731
+        gains = {(j, c): score(x[:, j] <= c) + score(x[:, j] > c) for j in range(4) for c in np.unique(x[:, j])[:-1]}
+        feature, threshold, value = model.trees[0]
+        left = x[:, feature[0]] <= threshold[0]
+        assert abs(score(left) + score(~left) - max(gains.values())) < 1e-9
+        assert np.allclose(value, [g[left].sum() / (h[left].sum() + 1), g[~left].sum() / (h[~left].sum() + 1)])
+
+
+def test_isotonic_is_the_least_squares_fit():
+    """Pooled blocks against the min-max formula of isotonic regression."""
+    rng = np.random.default_rng(6)
+    x, y = np.sort(rng.random(60)), (rng.random(60) < np.linspace(0.1, 0.9, 60)).astype(float)
+    mean = lambda i, j: y[i : j + 1].mean()
+    wanted = [max(min(mean(i, j) for j in range(k, 60)) for i in range(k + 1)) for k in range(60)]
+    found = Isotonic(x, y)(x)
+    groups = lambda v: [int(b) for b in np.flatnonzero(np.diff(np.round(v, 9)) > 0)]
+    assert groups(found) == groups(wanted)  # the same blocks; their values are smoothed
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((2000, 5))
@@ -395,6 +466,41 @@ def test_quality(spark, docs_of, edges, none):
     assert quality_rules(edges, labels).count() == EXPECT and quality_rules(none, labels.limit(0)).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's 64-bit hash of text or longs in turn."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_quality_score_and_verdict(spark, docs_of):
+    """Scores and verdicts against plain counting of the same buckets."""
+    have = [*texts(spark).items(), (10**6, "alpha beta " * 40), (10**6 + 1, None), (10**6 + 2, "word")]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r[0] for r in labels.filter("quality = 1").collect()}
+    buckets = {}
+    for i, t in have:
+        h = [spark_hash(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        buckets[i] = [x % 4096 for x in h] + [spark_hash(a, b) % 4096 for a, b in zip(h, h[1:], strict=False)]
+    raw, target = Counter(b for bs in buckets.values() for b in bs), Counter(b for i, bs in buckets.items() if i in good for b in bs)
+    weight = [np.log((target[b] + 1) / (target.total() + 4096)) - np.log((raw[b] + 1) / (raw.total() + 4096)) for b in range(4096)]
+    rows = {r["doc_id"]: r for r in quality_rules(docs_of(have), labels).collect()}
+    for i, t in have:
+        score = np.mean([weight[b] for b in buckets[i]]) if buckets[i] else 0.0
+        assert abs(rows[i]["score"] - score) < 1e-9
+        assert rows[i]["kept"] == (not brute_quality(t)[5] and score >= -0.1) or abs(score + 0.1) < 1e-9
+    assert {r["kept"] for r in rows.values()} == {True, False}
+
+
+def test_quality_of_a_very_long_text(spark, docs_of):
+    """More words than a position has bits for."""
+    rng = random.Random(12)
+    text = " ".join(f"w{rng.randrange(3000)}" for _ in range((1 << 20) + 5000))
+    row = quality_rules(docs_of([(1, text)]), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).first()
+    assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"], row["base_failed"]) == brute_quality(text)
+
+
 def test_quality_of_texts_too_long_to_pack(spark, docs_of, monkeypatch):
     """With room for no position at all, every text sorts whole hashes; the counts are the same."""
     have = [(1, "a b c " * 100), (2, "a a a a b\n" * 30), (3, " ".join(map(str, range(200)))), (4, "x y z x y z q")]
