@@ -30,6 +30,28 @@ def ids(rows, qid=0):
     return [r["id"] for r in sorted(rows.collect(), key=lambda r: (r["qid"], r["rank"])) if r["qid"] == qid]
 
 
+def test_folders(spark, monkeypatch, tmp_path):
+    from stratavec import session
+
+    class Far:
+        def __init__(self, master, folder=None):
+            self.sparkContext, self.conf, self.master, self.folder = self, self, master, folder
+
+        def get(self, key, default=None):
+            return self.folder or default
+
+        def getConf(self):
+            return self
+
+    assert session.shared_folder(Far("local[8]")) == session.LOCAL_CHECKPOINTS and session.shared_folder(Far("spark://a:7077", "s3://x/y")) == "s3://x/y"
+    with pytest.raises(ValueError):
+        session.shared_folder(Far("spark://a:7077"))
+    table = session.stored(spark.range(5), "five")
+    session.discard(table, spark.range(3))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(table._stored_path).count()
+
+
 def test_three_known_vectors(spark, tmp_path):
     spec = IndexSpec(128, (64, 128), planet_id=1, radius=1737400)
     z = np.stack([np.full(128, -1.0), np.ones(128), np.full(128, -0.2)])
