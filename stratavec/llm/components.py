@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratavec.session import stored
+from stratavec.session import discard, stored
 
 
 def _mins(edges: DataFrame) -> DataFrame:
@@ -23,12 +23,16 @@ def components(edges: DataFrame) -> DataFrame:
     rows = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = None
     while True:
+        before = rows
         both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(stored(_mins(both), "mins"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = stored(_mins(both), "mins")
+        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = stored(large, "large-star")
-        small = large.join(stored(_mins(large), "mins"), "a")
+        lower = stored(_mins(large), "mins")
+        small = large.join(lower, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         rows = stored(small, "small-star")
+        discard(before, low, lower, large)  # the round's result stands on its own
         now = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == state:
             return rows.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(rows.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

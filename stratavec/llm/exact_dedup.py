@@ -72,15 +72,16 @@ def identities(texts: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Digest
     return out.unionByName(first.filter("blocks > 1 AND at = 0").select(*own).join(named, "key").select(*own, "h", "k"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: Digest = F.xxhash64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest: Digest = F.xxhash64, unique: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays. Null texts count as empty. A null doc_id
     sorts below all others. Of rows that repeat both doc_id and text, one is kept. An empty table
-    gives an empty result. Columns besides the two named are ignored.
+    gives an empty result. Columns besides the two named are ignored. unique: ids are known to be
+    unique and not null.
     """
     ready(docs.sparkSession)
-    texts, plain = keyed(docs, id_col, text_col)
+    texts, plain = keyed(docs, id_col, text_col, unique)
     rows = stored(identities(texts.withColumn("text", F.coalesce("text", F.lit(""))), block_bytes, digest), "identities")
     same = ["n", "h", "k"]
     groups = stored(rows.groupBy(*same).agg(F.max("key").alias("keep"), F.sum("copies").alias("group_size")), "groups")

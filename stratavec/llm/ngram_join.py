@@ -313,7 +313,7 @@ def product_task(percent: int):
     return task
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, percent: int = PERCENT, unique: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Two documents link when their sets of word n-grams have a Jaccard similarity of percent / 100 or
@@ -322,10 +322,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nothing. A null doc_id comes before all others and is the component_id of its component. Rows
     that share a doc_id are documents of their own, unless they repeat the text too: those are one
     document that gives as many equal rows. An empty table gives an empty result. Other columns are
-    ignored.
+    ignored. unique: ids are known to be unique and not null.
     """
     ready(docs.sparkSession)
-    texts, plain = keyed(docs, id_col, text_col)
+    texts, plain = keyed(docs, id_col, text_col, unique)
     buckets = partitions(texts)
     dealt = texts.select("key", "text").mapInArrow(freeing(deal_task(buckets, gram, percent)), BLOBS_DDL)
     shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(freeing(share_task(buckets)), BLOBS_DDL)
