@@ -18,7 +18,7 @@ from stratavec.llm.language_id import identified
 from stratavec.llm.ngram_join import ngram_join
 from stratavec.llm.packing import best_fit_pack
 from stratavec.llm.suffix_dedup import shortened
-from stratavec.session import pick, small, stored
+from stratavec.session import discard, pick, small, stored
 
 #: Of the one-versus-rest margin, which does not depend on the number of languages.
 MIN_MARGIN = 0.1
@@ -63,13 +63,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
     rows, number = _numbered(docs)
-    return _without(rows, exact_dedup(rows, id_col=number).filter("NOT kept"), number)
+    return _without(rows, exact_dedup(rows, id_col=number, unique=True).filter("NOT kept"), number)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id."""
     rows, number = _numbered(docs)
-    return _without(rows, ngram_join(rows, id_col=number).filter("doc_id <> component_id"), number)
+    return _without(rows, ngram_join(rows, id_col=number, unique=True).filter("doc_id <> component_id"), number)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -104,5 +104,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table documents; each reads what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        read, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(read)  # if it is a stage's table, all that was made of it is written
     return STAGES[-1][1](spark, docs, sf_dir)
