@@ -101,6 +101,17 @@ def test_exact_matches_sql(spark):
     assert sorted(map(tuple, found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == sorted(wanted)
 
 
+@pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - {"op6_exact_dedup"}))
+def test_queries_match_sql(spark, name):
+    found = QUERIES[name](spark, SF)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    wanted = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in wanted.description]
+    assert sorted(columns) == sorted(found.columns)
+    assert sorted(map(tuple, found.select(columns).collect()), key=str) == sorted(wanted.fetchall(), key=str)
+
+
 def test_exact_names_every_text(docs_of, monkeypatch):
     named = []
     monkeypatch.setattr(exact, "identities", lambda texts, *a: named.append(texts.count()) or identities(texts, *a))
