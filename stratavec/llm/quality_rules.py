@@ -45,7 +45,7 @@ def with_counts(texts: DataFrame) -> DataFrame:
 
     Equal 3-word windows are found by sorting: a window's 64-bit hash keeps its upper bits and has
     its position in the lower ones, so that plain longs are sorted and equal windows become
-    neighbours. A text with too many words for the position, or with two windows that differ in
+    neighbours. Texts whose windows are all different aren't sorted. A text with too many words for the position, or with two windows that differ in
     the lower bits alone, sorts pairs of whole hash and position instead.
     """
     split = texts.select("doc_id", "text", F.array_remove(F.split("text", SPACE_RUN), "").alias("words"))
@@ -59,25 +59,27 @@ def with_counts(texts: DataFrame) -> DataFrame:
         F.transform("words", lambda w: F.xxhash64(w)).alias("wh"),
     )
     at = lambda i, k: F.get("wh", (i + k).cast("int"))
-    grams = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.slice(F.transform("wh", lambda h, i: F.xxhash64(h, at(i, 1), at(i, 2))), 1, F.greatest(F.size("wh") - 2, F.lit(0)))
     rows = split.select(
         "doc_id", "n_words", "wh", "n_symbols",
         (F.col("n_text") - F.col("n_spaces")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         grams.alias("grams"),
     )
-    rows = rows.withColumn("packed", F.sort_array(F.transform("grams", lambda h, i: h.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(LOW))))))
+    again = F.size(F.array_distinct("grams")) < F.size("grams")
+    rows = rows.withColumn("again", again)
+    rows = rows.withColumn("packed", F.when(F.col("again"), F.sort_array(F.transform("grams", lambda h, i: h.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(LOW)))))))
     hit = lambda i: F.get("grams", i.bitwiseAND(F.lit(LOW)).cast("int"))
     mixed = F.exists(F.sequence(F.lit(1), F.size("packed")), lambda i: _same_key(F.get("packed", i - 1), F.get("packed", i)) & (hit(F.get("packed", i - 1)) != hit(F.get("packed", i))))
     near = F.filter("packed", lambda x, i: _same_key(F.get("packed", i - 1), x) | _same_key(F.get("packed", i + 1), x))
     rows = rows.withColumn("plain", (F.size("packed") <= PACKED_WORDS) & ~mixed).withColumn("near", F.when(F.col("plain"), near))
     starts = F.sort_array(F.transform("near", lambda x: x.bitwiseAND(F.lit(LOW))))
     pairs = F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
-    rows = rows.withColumn("pairs", F.when(~F.col("plain"), pairs))
+    rows = rows.withColumn("pairs", F.when(F.col("again") & ~F.col("plain"), pairs))
     slow = F.filter("pairs", lambda x, i: F.coalesce(F.get("pairs", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("pairs", i + 1)["h"] == x["h"], F.lit(False)))
     slow_starts = F.sort_array(F.transform(slow, lambda x: x["i"]))
     rows = rows.withColumn("starts", F.when(F.col("plain"), starts).otherwise(slow_starts))
-    return rows.select("doc_id", "n_words", "wh", "word_chars", "n_symbols", "n_dup_lines", _covered(F.col("starts")).alias("n_repeat_words"))
+    return rows.select("doc_id", "n_words", "wh", "word_chars", "n_symbols", "n_dup_lines", F.when(F.col("again"), _covered(F.col("starts"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def _buckets(buckets: int) -> Column:
