@@ -12,7 +12,8 @@ their rows leave the JVM. Beyond that size they are joined by a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from stratavec.functions.distance import score
 from stratavec.functions.spec import FLOAT, ONE_BIT, IndexSpec
-from stratavec.functions.transform import codes, matrix, rotate, unpack_words
-from stratavec.session import ready
+from stratavec.functions.transform import codes, encode, matrix, rotate, unpack_words
+from stratavec.session import ready, stored
 from stratavec.sources.index import Index
 
 LEAST_CANDIDATES = 100
@@ -30,6 +31,7 @@ ROWS = 1 << 14
 PACKED = "qid long, found binary"
 SCANNED = "qid long, row_idx long, code_dist double"
 CANDIDATE_BYTES = 64 << 20
+QUERY_BYTES = 64 << 20
 RANGES = 64
 SPARSE = 4
 INT_MAX = 2147483647
@@ -37,16 +39,38 @@ INT_MAX = 2147483647
 
 @dataclass
 class Queries:
+    """A batch at hand."""
+
     ids: np.ndarray
     vectors: np.ndarray
 
 
 def collect_queries(queries: DataFrame | np.ndarray, dim: int) -> Queries:
-    """queries: an array of rows, or a frame of qid and qvec."""
-    if isinstance(queries, DataFrame):
-        found = queries.select(F.col("qid").cast("long"), F.col("qvec").cast("array<float>")).orderBy("qid").collect()
-        return Queries(np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.float32).reshape(-1, dim))
-    return Queries(np.arange(len(queries), dtype=np.int64), np.asarray(queries, np.float32).reshape(-1, dim))
+    """queries: an array of rows, or a frame of qid and qvec, which must fit in QUERY_BYTES."""
+    found = blocks(queries, dim)
+    if len(found) != 1:
+        raise ValueError(f"a batch of over {QUERY_BYTES} bytes must be asked in blocks")
+    return found[0] if isinstance(found[0], Queries) else _collected(found[0].collect(), dim)
+
+
+def _collected(rows: list, dim: int) -> Queries:
+    rows = sorted(rows, key=lambda r: r[0])
+    return Queries(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32).reshape(-1, dim))
+
+
+def blocks(queries: DataFrame | np.ndarray, dim: int) -> list[Queries | DataFrame]:
+    """The batch as it is if it fits in QUERY_BYTES, else frames that each do, dealt by the hash of qid."""
+    if isinstance(queries, Queries):
+        return [queries]
+    if not isinstance(queries, DataFrame):
+        return [Queries(np.arange(len(queries), dtype=np.int64), np.asarray(queries, np.float32).reshape(-1, dim))]
+    most = max(1, QUERY_BYTES // (4 * dim))
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<float>").alias("qvec"))
+    found = rows.limit(most + 1).collect()
+    if len(found) <= most:
+        return [_collected(found, dim)]
+    n = -(-2 * rows.count() // most)  # blocks of half the size, as hashes deal unevenly
+    return [rows.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)]
 
 
 def ones(words: np.ndarray) -> np.ndarray:
@@ -286,7 +310,10 @@ def batch_search(index: Index, queries: DataFrame | np.ndarray, k: int, candidat
     distance, row_idx). Float mode isn't reranked and scores 0. Without queries, rows, or a positive
     k, the result is empty; pad gives rows of id -1 and the largest score for what is missing.
     """
-    asked = collect_queries(queries, index.spec.dim)
+    parts = blocks(queries, index.spec.dim)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [stored(batch_search(index, p, k, candidates, use_half, pad), "found") for p in parts])
+    asked = collect_queries(parts[0], index.spec.dim)
     spark = index.rows.sparkSession
     keep = 0 if k <= 0 else candidates or candidate_count(k)
     if not len(asked.ids) or keep == 0:
@@ -350,7 +377,10 @@ def exact_task(queries: Queries, dim: int, keep: int):
 def exact_knn(records: DataFrame, queries: DataFrame | np.ndarray, k: int, dim: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """Exact neighbours by squared distance of raw vectors, ties by id: qid, rank, id, dist."""
     ready(records.sparkSession)
-    asked = collect_queries(queries, dim)
+    parts = blocks(queries, dim)
+    if len(parts) > 1:
+        return reduce(DataFrame.unionByName, [stored(exact_knn(records, p, k, dim, id_col, vector_col), "found") for p in parts])
+    asked = collect_queries(parts[0], dim)
     found = records.select(F.col(id_col).cast("long"), vector_col).mapInArrow(exact_task(asked, dim, k), "qid long, id long, dist double")
     order = Window.partitionBy("qid").orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "dist")
@@ -359,7 +389,13 @@ def exact_knn(records: DataFrame, queries: DataFrame | np.ndarray, k: int, dim:
 def row_profile(index: Index, queries: DataFrame | np.ndarray, nth: int) -> DataFrame:
     """Each row's Hamming distances to all queries, summed up without leaving its task: row_idx, id, least, most, and the nth smallest (null of fewer queries)."""
     ready(index.rows.sparkSession)
-    asked, names = collect_queries(queries, index.spec.dim), index.spec.code_columns()
+    parts, names = blocks(queries, index.spec.dim), index.spec.code_columns()
+    if len(parts) > 1:  # how many queries are at each distance: as many rows as there are distances, of whatever batch
+        counts = hamming_pairs(index, queries).groupBy("row_idx", "id", "dist").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("row_idx").orderBy("dist"))
+        rows = counts.withColumn("upto", upto).groupBy("row_idx", "id")
+        return rows.agg(F.min("dist").cast("long").alias("least"), F.max("dist").cast("long").alias("most"), F.min(F.when(F.col("upto") >= nth, F.col("dist"))).cast("long").alias("nth"))
+    asked = collect_queries(parts[0], index.spec.dim)
     words = [codes(rotate(asked.vectors, index.spec), index.spec)[n].view(np.uint64) for n in names]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,10 +414,17 @@ def row_profile(index: Index, queries: DataFrame | np.ndarray, nth: int) -> Data
 
 
 def hamming_pairs(index: Index, queries: DataFrame | np.ndarray, beside: tuple[str, ...] = ()) -> DataFrame:
-    """Every query against every row, by the bits that differ: qid, row_idx, id, dist, and columns beside them. The queries are the broadcast side."""
-    asked = collect_queries(queries, index.spec.dim)
+    """Every query against every row, by the bits that differ: qid, row_idx, id, dist, and columns beside them. Queries are the broadcast side while they fit in QUERY_BYTES."""
     names = index.spec.code_columns()
-    words = codes(rotate(asked.vectors, index.spec), index.spec)
-    side = index.rows.sparkSession.createDataFrame([(int(q), *(int(words[n][i]) for n in names)) for i, q in enumerate(asked.ids)], ", ".join(["qid long", *(f"q_{n} long" for n in names)]))
+    parts = blocks(queries, index.spec.dim)
+    if len(parts) > 1:  # too large to be sent along: encoded where it is, and met part by part
+        spec = replace(index.spec, half=False)
+        side = encode(queries.select(F.col("qid").cast("long").alias("qid"), F.col("qvec").cast("array<float>").alias("vector")), spec)
+        side = stored(side.select("qid", *(F.col(n).alias(f"q_{n}") for n in names)), "query-codes")
+    else:
+        asked = collect_queries(parts[0], index.spec.dim)
+        words = codes(rotate(asked.vectors, index.spec), index.spec)
+        side = index.rows.sparkSession.createDataFrame([(int(q), *(int(words[n][i]) for n in names)) for i, q in enumerate(asked.ids)], ", ".join(["qid long", *(f"q_{n} long" for n in names)]))
+        side = F.broadcast(side)
     distance = sum((F.bit_count(F.col(n).bitwiseXOR(F.col(f"q_{n}"))) for n in names[1:]), F.bit_count(F.col(names[0]).bitwiseXOR(F.col(f"q_{names[0]}"))))
-    return index.rows.select("row_idx", "id", *beside, *names).crossJoin(F.broadcast(side)).select("qid", "row_idx", "id", distance.alias("dist"), *beside)
+    return index.rows.select("row_idx", "id", *beside, *names).crossJoin(side).select("qid", "row_idx", "id", distance.alias("dist"), *beside)

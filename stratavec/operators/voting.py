@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratavec.functions.distance import hamming, ternary
 from stratavec.functions.spec import FLOAT, ONE_BIT, UnsupportedLayout
 from stratavec.functions.transform import codes, matrix, rotate
-from stratavec.operators.knn import ROWS, collect_queries
+from stratavec.operators.knn import ROWS, blocks, collect_queries
 from stratavec.session import ready
 from stratavec.sources.index import Index
 
@@ -36,7 +36,7 @@ class Votes:
 def _batch(queries: DataFrame | Votes, dim: int):
     if isinstance(queries, Votes):
         return collect_queries(queries.vectors, dim), queries.families, queries.thresholds
-    found = queries.select("qid", "qvec", "family", "threshold").orderBy("qid").collect()
+    found = sorted(queries.select("qid", "qvec", "family", "threshold").collect(), key=lambda r: r["qid"])
     asked = collect_queries(np.array([r["qvec"] for r in found], np.float32).reshape(-1, dim), dim)
     return asked, [r["family"] for r in found], [r["threshold"] for r in found]
 
@@ -99,6 +99,10 @@ def query_grid(index: Index, queries: DataFrame | Votes, gates: bool = True) ->
     if spec.q_mode == FLOAT:
         raise UnsupportedLayout("voting needs binary codes")
     ready(index.rows.sparkSession)
+    if isinstance(queries, DataFrame) and len(parts := blocks(queries, spec.dim)) > 1:
+        each = [query_grid(index, queries.join(p.select("qid"), "qid", "left_semi"), gates) for p in parts]
+        rows = reduce(DataFrame.unionByName, each).groupBy("row_idx", "id").agg(F.bit_or("mask").alias("mask"))
+        return rows.withColumn("votes", F.bit_count("mask"))
     asked, families, thresholds = _batch(queries, spec.dim)
     names = spec.code_columns(index.last_tier if gates else None)
     query = codes(rotate(asked.vectors, spec), spec)
@@ -130,6 +134,10 @@ def resonant(masks: DataFrame, votes: int = VOTES) -> DataFrame:
 def radius_vote(records: DataFrame, queries: DataFrame, dim: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The same vote by exact squared distance, at most 4 x threshold / dim: id, mask, votes."""
     ready(records.sparkSession)
+    if isinstance(queries, DataFrame) and len(parts := blocks(queries, dim)) > 1:
+        each = [radius_vote(records, queries.join(p.select("qid"), "qid", "left_semi"), dim, id_col, vector_col) for p in parts]
+        rows = reduce(DataFrame.unionByName, each).groupBy("id").agg(F.bit_or("mask").alias("mask"))
+        return rows.withColumn("votes", F.bit_count("mask"))
     asked, families, thresholds = _batch(queries, dim)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,6 +95,25 @@ def test_last_tier_is_no_pruning(spark):
     assert sorted(map(tuple, whole.select("qid", "rank", "id").collect())) == sorted(map(tuple, one.select("qid", "rank", "id").collect()))
 
 
+def test_large_batches_are_asked_in_blocks(spark, monkeypatch):
+    x, spec = vectors(200, 64, 12), IndexSpec(64, (64,))
+    index = Index(build(frame(spark, x), spec), spec)
+    asked = frame(spark, x[:24]).selectExpr("id AS qid", "vector AS qvec")
+    votes = prepare.vote_batch(asked, 8, 28)
+
+    def results():
+        base = frame(spark, x)
+        frames = knn.batch_search(index, asked, 4), knn.exact_knn(base, asked, 4, 64), knn.hamming_pairs(index, asked), knn.row_profile(index, asked, 5), knn.row_profile(index, asked, 99), voting.query_grid(index, votes), voting.radius_vote(base, votes, 64)
+        return [sorted(map(tuple, f.collect()), key=str) for f in frames]
+
+    whole = results()
+    monkeypatch.setattr(knn, "QUERY_BYTES", 4 * 64 * 10)
+    assert len(knn.blocks(asked, 64)) == 5
+    assert results() == whole
+    with pytest.raises(ValueError):
+        knn.collect_queries(asked, 64)
+
+
 def test_candidates_are_pushed_down_to_the_payload(spark, tmp_path):
     spec = IndexSpec(64, (64,))
     engine = Engine(spark)
