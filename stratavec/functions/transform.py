@@ -93,8 +93,8 @@ def codes(z: np.ndarray, spec: IndexSpec) -> dict[str, np.ndarray | list]:
 
 
 def to_half(x: np.ndarray) -> np.ndarray:
-    """Rounded to half precision, ties to even, as floats."""
-    return np.asarray(x, np.float32).astype(np.float16).astype(np.float32)
+    """Rounded to half precision, ties to even, as floats; what rounds to zero has no sign, as in half() and the SQL."""
+    return np.asarray(x, np.float32).astype(np.float16).astype(np.float32) + np.float32(0)
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

@@ -47,3 +47,14 @@ def test_batches_leave_out_no_target_or_query(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
+
+
+def test_what_rounds_to_zero_in_half_precision_has_no_sign(spark, tmp_path):
+    """Beyond 50,000 rows some value is so near zero that only its sign would be left."""
+    con, dim = duckdb.connect(), 64
+    tiny = [-1e-8, 1e-8, -(2.0**-25), 2.0**-25, -1.5 * 2.0**-25, 1.5 * 2.0**-24, -2.5 * 2.0**-24, -(2.0**-14), 0.0]
+    con.execute(f"CREATE TABLE embeddings AS SELECT i AS vec_id, list_transform(range({dim}), lambda j: CASE WHEN j < {len(tiny)} THEN ({tiny}[j + 1] * (1 + i))::FLOAT ELSE sin(i * {dim} + j)::FLOAT END) AS embedding, 0::INTEGER AS label FROM range(20) t(i)")
+    con.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    found, wanted = QUERIES["column_bytes"](spark, str(tmp_path)), con.execute(ORACLE_SQL["column_bytes"])
+    columns = [d[0] for d in wanted.description]
+    assert rows_of(found.collect(), found.columns) == rows_of(wanted.fetchall(), columns)
