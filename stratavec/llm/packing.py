@@ -12,13 +12,13 @@ length are numbered in parallel and look their place up.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,18 +30,17 @@ from stratavec.session import partitions, ready, stored
 
 CAPACITY = 1024
 END = 2
-CACHE_ENTRIES = 250_000
 STEPS = 300
 ROUNDS = 4
 ONCE = 0.05
-#: Splits a text before a single space between two words, where no token spans it.
-BEFORE_WORD = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r" \s|\s ")
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The byte-level pattern, without backtracking: where a run of letters, digits or signs ends, no shorter one is tried.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+#: From this length on, runs of white space are set apart before the pattern is asked: its stack has a bound.
+LONG_RUN = 1 << 16
 
 
 class ByteBpe:
-    """Encoder for a byte-level vocabulary file, with a bounded cache of what stands between spaces."""
+    """Encoder for a byte-level vocabulary file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -50,41 +49,24 @@ class ByteBpe:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(map(back.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.coder = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.sizes = np.zeros(max(*ranks.values(), *special.values()) + 1, np.int64)
-        for t, i in ranks.items():
-            self.sizes[i] = len(t)
-        for t, i in special.items():
-            self.sizes[i] = len(t.encode())
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.coder.encode(text, allowed_special="all"), np.uint32)
-
-    def learn(self, words: set[str]) -> None:
-        """Makes words known, each as it is after a space."""
-        if len(self.known) + len(words) > CACHE_ENTRIES:
-            self.known.clear()
-        plain = []
-        for w in words:
-            if w and not w[0].isspace() and not w[-1].isspace():
-                plain.append(w)
-            else:
-                self.known[w] = self.ids(" " + w).tobytes()
-        if plain:
-            ids = self.ids(" " + " ".join(plain))
-            raw, ends = ids.tobytes(), np.cumsum(self.sizes[ids])
-            at = 4 * np.r_[0, np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in plain])) + 1]
-            self.known.update(zip(plain, (raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)), strict=True))
+        self.runs, self.special = regex.compile(rf"\p{{White_Space}}{{{LONG_RUN},}}+"), tuple(special)
+
+    def ids(self, text: str) -> bytes:
+        return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text, cut around long runs of white space; the last of a run belongs to what follows, but not to a special token."""
+        at = 0
+        for m in self.runs.finditer(text):
+            end = m.end() if m.end() == len(text) or text.startswith(self.special, m.end()) else m.end() - 1
+            yield text[at : m.start()]
+            yield text[m.start() : end]
+            at = end
+        yield text[at:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = [BEFORE_WORD.split(t) if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        missing = {w for ws in split for w in ws[1:] if w not in self.known}
-        if missing:
-            held = {w: self.known[w] for ws in split for w in ws[1:] if w in self.known} if len(self.known) + len(missing) > CACHE_ENTRIES else {}
-            self.learn(missing)
-            self.known.update(held)
-        return [self.ids(ws[0]).tobytes() + b"".join(map(self.known.__getitem__, ws[1:])) for ws in split]
+        return [self.ids(t) if len(t) < LONG_RUN else b"".join(map(self.ids, self.parts(t))) for t in texts]
 
 
 _LOADED: dict[str, ByteBpe] = {}

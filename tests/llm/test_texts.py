@@ -79,6 +79,18 @@ def test_byte_bpe_odd_texts():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_byte_bpe_of_long_runs_of_white_space(monkeypatch):
+    """The pattern's stack holds a million steps."""
+    library, n = Tokenizer.from_file(BYTES), 1_100_000
+    ours = packing.ByteBpe(BYTES)
+    for t in (" " * n + "a", "x" + "\n" * n, "x" + "\n" * n + "<|endoftext|> y", "a " * 200_000):
+        assert np.frombuffer(ours.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[-20:]
+    monkeypatch.setattr(packing, "LONG_RUN", 2)
+    ours = packing.ByteBpe(BYTES)
+    for t in [*odd_texts(), "a \n <|endoftext|>  \n<|endoftext|> \x85 é  \u3000  ", "\x1c\x1d  \x1fa"]:
+        assert np.frombuffer(ours.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def check_packing(rows, have, copies=1):
     library = Tokenizer.from_file(BYTES)
     sequences, pieces = defaultdict(list), defaultdict(list)
