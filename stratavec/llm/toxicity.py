@@ -2,13 +2,14 @@
 
 Features of a whole text: densities of lexicon words (a short fixed list, and words and word
 beginnings that a part of the labelled rows shows to be telling), how near they stand to the second
-person, capitals, punctuation, and signs of obfuscation. Each distinct word is looked at once per
-worker; a text's features are sums over its words' rows. The labelled sample is split three ways:
+person, capitals, punctuation, and signs of obfuscation. Words that a worker doesn't know yet are
+looked at together, a group of texts at a time; a text's features are sums over its words' rows. The labelled sample is split three ways:
 one part for the lexicon, one for the trees, one for calibration.
 """
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stratavec.llm.arrays import batch
 from stratavec.llm.boosting import Boosted, Isotonic
+from stratavec.llm.bpe import groups
 from stratavec.session import pick, ready, small, stored
 
 SAMPLE = 12_000
@@ -35,6 +37,8 @@ SECOND_PERSON = "you your yours yourself yourselves du dich dir dein deine deine
 OBFUSCATED = regex.compile(r"\p{L}[*@$!0-9#]+\p{L}|(\p{L})\1\1|\p{L}[._-]\p{L}[._-]\p{L}")
 LETTERS = regex.compile(r"[^\p{L}\p{N}]+")
 COLUMNS = ("fixed", "learned", "start", "weight", "second", "capitals", "all_caps", "bang", "question", "punctuation", "obfuscated", "digits", "letters", "length")
+#: Bits of a character: looked up, upper case, letter, neither letter nor number, digit, may obfuscate inside a word.
+SEEN, UPPER, ALPHA, OTHER, DIGIT, INNER = 1, 2, 4, 8, 16, 32
 FEATURES = ("log_words", "log_fixed", "log_learned", "log_start", "near_second", "near_any", *COLUMNS)
 
 
@@ -53,41 +57,73 @@ class Scanner:
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon, self.insults, self.second = lexicon, set(INSULTS.split()), set(SECOND_PERSON.split())
+        self.telling = {*lexicon, *self.insults, *self.second}
+        self.starts = {i[:-1] for i in lexicon if i.endswith("~")}
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(COLUMNS)), np.float32)
-
-    def _learn(self, word: str) -> int:
+        self.kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+
+    def _kinds(self, codes: np.ndarray) -> np.ndarray:
+        """What each character is, as bits."""
+        kinds = self.kinds[codes]
+        if not kinds.all():
+            for code in np.unique(codes[kinds == 0]).tolist():
+                c = chr(code)
+                self.kinds[code] = SEEN | UPPER * c.isupper() | ALPHA * c.isalpha() | OTHER * (not c.isalnum()) | DIGIT * c.isdigit() | INNER * (c in "*@$!0123456789#._-")
+            kinds = self.kinds[codes]
+        return kinds
+
+    def _learn(self, words: list[str]) -> None:
+        """Rows of words that have none, all at once."""
+        if not words:
+            return
         at = len(self.rows)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        known, w = items(word), plain(word)
-        upper = sum(c.isupper() for c in word)
-        alpha = sum(c.isalpha() for c in word)
-        weight = max((self.lexicon.get(i, 0.0) for i in known), default=0.0)
-        self.table[at] = (
-            w in self.insults, w in self.lexicon, any(i in self.lexicon for i in known[1:]), weight, w in self.second, upper, alpha > 1 and upper == alpha,
-            word.count("!"), word.count("?"), sum(not c.isalnum() for c in word), bool(OBFUSCATED.search(word)), sum(c.isdigit() for c in word), alpha, len(word),
-        )
-        self.rows[word] = at
-        return at
-
-    def features(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
-        if len(self.rows) > CACHE_ENTRIES:
-            self.rows.clear()
-        rows = self.rows
-        index = [rows[w] if w in rows else self._learn(w) for w in words]
-        found = self.table[index] if words else np.zeros((0, len(COLUMNS)), np.float32)
+        if at + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(words)), len(COLUMNS)), np.float32)])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first, kinds = np.cumsum(size) - size, self._kinds(codes)
+        count = lambda mask: np.add.reduceat(mask, first, dtype=np.int64)
+        upper, alpha, other = (count(kinds & bit != 0) for bit in (UPPER, ALPHA, OTHER))
+        place = np.arange(len(codes)) - np.repeat(first, size)
+        odd = (kinds & INNER != 0) & (place > 0) & (place < np.repeat(size, size) - 1)  # only words with one of these, or a character three times, can be obfuscated
+        odd[2:] |= (codes[2:] == codes[1:-1]) & (codes[2:] == codes[:-2]) & (place[2:] >= 2)
+        new = self.table[at : at + len(words)]
+        new[:, :5] = 0
+        new[:, 5:] = np.stack([upper, (alpha > 1) & (upper == alpha), count(codes == ord("!")), count(codes == ord("?")), other, np.zeros_like(size), count(kinds & DIGIT != 0), alpha, size], 1)
+        for k in np.flatnonzero(count(odd)).tolist():
+            new[k, 10] = bool(OBFUSCATED.search(words[k]))
+        telling, starts = self.telling, self.starts
+        for k, (word, mixed) in enumerate(zip(words, other.tolist(), strict=True)):
+            w = plain(word) if mixed else word.lower()
+            if w in telling or w[:4] in starts or w[:5] in starts or w[:6] in starts:
+                known = items(word)
+                weight = max((self.lexicon.get(i, 0.0) for i in known), default=0.0)
+                new[k, :5] = (w in self.insults, w in self.lexicon, any(i in self.lexicon for i in known[1:]), weight, w in self.second)
+        self.rows.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def _features(self, words: list[str]) -> np.ndarray:
+        found = self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
         total, n = found.sum(0, dtype=np.float64), max(1, len(words))
-        hit = np.flatnonzero(found[:, :3].any(1))
-        second = np.flatnonzero(found[:, 4])
         near = 0
-        if len(hit) and len(second):
+        if total[:3].any() and total[4]:
+            hit, second = np.flatnonzero(found[:, :3].any(1)), np.flatnonzero(found[:, 4])
             k = np.searchsorted(second, hit)
             gap = np.minimum(np.abs(second[np.minimum(k, len(second) - 1)] - hit), np.abs(second[np.maximum(k - 1, 0)] - hit))
             near = int((gap <= NEAR_WORDS).sum())
         return np.array([np.log1p(len(words)), *np.log1p(total[:3]), near / n, float(near > 0), *(total / n)])
 
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text."""
+        out = []
+        for some in groups(texts):
+            split = [t.split() for t in some]
+            if len(self.rows) > CACHE_ENTRIES:
+                self.rows.clear()
+            self._learn(list(set().union(*split).difference(self.rows)))
+            out += map(self._features, split)
+        return np.array(out).reshape(-1, len(FEATURES))
+
 
 class Model:
     def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, tuning: np.ndarray) -> None:
@@ -102,8 +138,7 @@ class Model:
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.scanner is None:
             self.scanner = Scanner(self.lexicon)
-        x = np.array([self.scanner.features(t) for t in texts]).reshape(-1, len(FEATURES))
-        f = self.trees.margin(x)
+        f = self.trees.margin(self.scanner.features(texts))
         return np.clip(self.curve(f) + 1e-6 * np.tanh(f / 10), 0.0, 1.0)
 
 
@@ -123,7 +158,7 @@ def feature_task(lexicon: dict[str, float]):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
         for b in batches:
-            yield batch({"fold": pa.int32(), "toxic": pa.int32(), "x": pa.list_(pa.float64())}, b.column(0), b.column(1), [scanner.features(t).tolist() for t in b.column(2).to_pylist()])
+            yield batch({"fold": pa.int32(), "toxic": pa.int32(), "x": pa.list_(pa.float64())}, b.column(0), b.column(1), scanner.features(b.column(2).to_pylist()).tolist())
 
     return task
 

@@ -329,6 +329,29 @@ def test_toxicity_sample_of_repeated_ids_and_foreign_labels(spark, monkeypatch):
     assert np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in rows]) > 0.99
 
 
+def test_toxicity_features_of_words_that_are_learned_together(monkeypatch):
+    """Against one word at a time, with a cache that is emptied for every group of texts."""
+    monkeypatch.setattr(tox, "CACHE_ENTRIES", 3)
+    lexicon, rng = {"garbage": 2.5, "garb~": 3.0, "smell~": 2.25, "été": 4.0, "x": 2.0}, random.Random(5)
+    have = [None, "", "you garbage! YOU smelly fooool", "d*mb 1d1ot a.b.c Garbled ÉTÉ x X.", "x" * 300, "you " * 8 + "idiot", "İs ǅ ½² Ⅷ 日本 😀😀😀 a\x1cb ... !!! ??"]
+    have += ["".join(rng.choice("aAbéÉß1½²Ⅷ!?*@$#._-日😀ǅ \t") for _ in range(rng.randrange(1, 120))) for _ in range(200)]
+    have += [t.upper() for t in have if t]
+    found = tox.Scanner(lexicon).features(have)
+    assert found.shape == (len(have), len(tox.FEATURES)) and tox.Scanner(lexicon).features([]).shape == (0, len(tox.FEATURES))
+    for text, row in zip(have, found.tolist(), strict=True):
+        words, sums, hits, second = (text or "").split(), np.zeros(len(tox.COLUMNS)), [], []
+        for i, word in enumerate(words):
+            known, w = tox.items(word), tox.plain(word)
+            upper, alpha = sum(c.isupper() for c in word), sum(c.isalpha() for c in word)
+            mine = [w in tox.INSULTS.split(), w in lexicon, any(k in lexicon for k in known[1:])]
+            second += [i] * (w in tox.SECOND_PERSON.split())
+            hits += [i] * any(mine)
+            weight = max([0.0, *(lexicon.get(k, 0.0) for k in known)])
+            sums += [*mine, weight, w in tox.SECOND_PERSON.split(), upper, alpha > 1 and upper == alpha, word.count("!"), word.count("?"), sum(not c.isalnum() for c in word), bool(tox.OBFUSCATED.search(word)), sum(c.isdigit() for c in word), alpha, len(word)]
+        near, n = sum(any(abs(i - j) <= tox.NEAR_WORDS for j in second) for i in hits), max(1, len(words))
+        assert np.allclose(row, [np.log1p(len(words)), *np.log1p(sums[:3]), near / n, near > 0, *(sums / n)], rtol=1e-12), text
+
+
 def test_toxicity(spark):
     sf = SF.replace("0.001", "0.01")
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").collect()}
